@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, topk, warc
+from foliant.llm import bpe, dedup, topk, warc
 from foliant.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.threshold_topk(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0, k=10)
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -22,7 +26,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op4_threshold_topk, op9_byte_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op4_threshold_topk, op5_minhash_dedup, op9_byte_bpe, op10_warc)}
 
 ORACLE_SQL = {
     "op4_threshold_topk": """
@@ -32,6 +36,18 @@ ORACLE_SQL = {
               FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op5_minhash_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+        g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS s FROM w),
+        u AS (SELECT s0, min(doc_id) AS rep, any_value(s) AS s FROM (SELECT doc_id, s, list_sort(s) AS s0 FROM g WHERE len(s) > 0) GROUP BY s0),
+        e AS (SELECT rep, len(s) AS n, unnest(s) AS x FROM u),
+        p AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.x = b.x AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+        l AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+        r AS (SELECT rep AS a, rep AS b FROM u UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+        c AS (SELECT a AS rep, min(b) AS comp FROM r GROUP BY a),
+        f AS (SELECT g.doc_id, CAST(len(g.s) AS BIGINT) AS n_shingles, coalesce(c.comp, g.doc_id) AS component_id
+              FROM g LEFT JOIN u ON u.s0 = list_sort(g.s) AND len(g.s) > 0 LEFT JOIN c ON c.rep = u.rep)
+        SELECT *, doc_id = component_id AS kept FROM f""",
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
         m AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, max(page_id) OVER (PARTITION BY h) AS last_id FROM p)
