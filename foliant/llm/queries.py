@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, decontam, dedup, langid, topk, warc
+from foliant.llm import bpe, decontam, dedup, langid, pii, topk, warc
 from foliant.llm.common import table
 
 
@@ -26,6 +26,14 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: The key of the surrogates; a deployment passes a secret one.
+PII_KEY = "foliant-public-key"
+
+
+def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -38,7 +46,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_threshold_topk, op5_minhash_dedup, op7_decontamination, op9_byte_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op4_threshold_topk, op5_minhash_dedup, op6_pii_surrogates, op7_decontamination, op9_byte_bpe, op10_warc)}
 
 ORACLE_SQL = {
     "op4_threshold_topk": """
