@@ -1,12 +1,56 @@
-"""The training-data pipeline: stages over the table documents, each written as Parquet and read again by the next."""
+"""The training-data pipeline: stages over the table documents, each written as Parquet and read again by the next.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
+columns of documents. Rows with a null id are never compared with others and stay where their text allows.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from foliant.llm import bpe, decontam, dedup, langid, pii
 from foliant.llm.common import stored, table
+from foliant.llm.queries import LANGUAGES, PII_KEY
+
+
+def by_decision(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs whose id, null included, has a row in decided."""
+    ids = decided.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages; their column lang becomes the language found."""
+    found = langid.identify(docs, LANGUAGES).filter("kept").select(F.col("doc_id").alias("_id"), "language").dropDuplicates(["_id"])
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]))
+    return joined.withColumn("lang", F.col("language")).select(*docs.columns)
+
+
+def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates; of rows that repeat an id, one."""
+    one = by_decision(docs, dedup.near_duplicates(docs).filter("kept"))
+    return one.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(one.filter("doc_id IS NULL"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.without_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with surrogates for the personal data in their texts."""
+    return pii.replace_pii(docs, PII_KEY).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with the token ids of their texts, and how many these are."""
+    encoded = bpe.encode_rows(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return encoded.withColumn("n_tokens", F.size("token_ids").cast("long"))
+
 
-STAGES: list = []
+STAGES = [("language", language_stage), ("dedup", dedup_stage), ("decontamination", decontamination_stage), ("pii", pii_stage), ("encoding", encoding_stage)]
 ORACLE_SQL = None  # language models, signatures and keyed surrogates are not expressible in SQL
 
 
