@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, decontam, dedup, langid, pii, topk, warc
+from foliant.llm import bpe, decontam, dedup, langid, licenses, pii, topk, toxicity, warc
 from foliant.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"), LANGUAGES)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.threshold_topk(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0, k=10)
 
@@ -38,6 +42,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -46,7 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op4_threshold_topk, op5_minhash_dedup, op6_pii_surrogates, op7_decontamination, op9_byte_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_threshold_topk, op5_minhash_dedup, op6_pii_surrogates, op7_decontamination, op8_license_scan, op9_byte_bpe, op10_warc)}
 
 ORACLE_SQL = {
     "op4_threshold_topk": """
