@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, decontam, dedup, langid, licenses, pii, topk, toxicity, warc
+from foliant.llm import bpe, decontam, dedup, extract, langid, licenses, pii, topk, toxicity, warc
 from foliant.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.threshold_topk(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0, k=10)
 
@@ -54,7 +58,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op4_threshold_topk, op5_minhash_dedup, op6_pii_surrogates, op7_decontamination, op8_license_scan, op9_byte_bpe, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_toxicity, op3_main_text, op4_threshold_topk, op5_minhash_dedup, op6_pii_surrogates, op7_decontamination, op8_license_scan, op9_byte_bpe, op10_warc)}
 
 ORACLE_SQL = {
     "op4_threshold_topk": """
