@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("plans.dashboard", "plans.monitoring", "plans.jobs")
+MODULES = ("plans.dashboard", "plans.monitoring", "plans.jobs", "plans.scalars", "plans.windows", "plans.sets")
 
 
 def query(sql: str | None = None, name: str | None = None):
