@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from foliant.llm.common import bound_batches, only
 
@@ -250,5 +251,5 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
             rows = [list(map(int, line.split())) for line in words.lines([text or "" for text in batch.column(at).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], [*names, out_col])
 
-    schema = docs.schema.add(out_col, "array<int>")
+    schema = StructType([*docs.schema.fields, StructField(out_col, ArrayType(IntegerType()))])
     return docs.mapInArrow(encode, schema)

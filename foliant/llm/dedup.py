@@ -28,7 +28,11 @@ from foliant.llm.shingles import common, mix, shingle_set
 SYMBOLS, CHUNKS = 64, 16
 MAX_DISTANCE = 2 * CHUNKS - 1
 #: Rounds of comparing with hubs before all pairs that are left are compared.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+#: Rows of a key that are compared with each other at once; larger keys are cut into blocks that meet in pairs.
+BLOCK_ROWS = 1024
+#: Ids that are broadcast to pick texts; of more, texts and ids are joined by a shuffle.
+BROADCAST_IDS = 500_000
 #: Percent of the union that two sets must share.
 PERCENT = 75
 
@@ -70,26 +74,15 @@ def index_keys(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*parts)).alias("key"), "doc")
 
 
-def distance(a: str, b: str):
-    """How many symbols two signature columns differ in, as plain arithmetic on longs."""
-    total = F.lit(0)
-    for c in range(CHUNKS):
-        x = F.get(a, F.lit(c)).bitwiseXOR(F.get(b, F.lit(c)))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 8))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 4))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x0001000100010001))
-        total = total + F.bit_count(x)
-    return total
-
-
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets share percent of their union. texts: doc, text, each doc once.
 
     Texts go through the shuffle, not their sets, which are several times larger. Rows of one b come together, so its
     set is made once for each of them; Spark splits a hot b.
     """
-    wanted = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct(), "pair-ids")
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
     some = stored(texts.join(wanted, "doc", "left_semi").dropDuplicates(["doc"]), "pair-texts")
     rows = pairs.join(some.withColumnsRenamed({"doc": "a", "text": "text_a"}), "a").join(some.withColumnsRenamed({"doc": "b", "text": "text_b"}), "b")
 
@@ -119,19 +112,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     full = base.filter("n > 0 AND doc IS NOT NULL")
     nodes = stored(full.groupBy("h1", "h2").agg(F.min(F.struct("doc", "n", "sig")).alias("x"), F.count("*").alias("copies")).select("h1", "h2", "copies", "x.*"), "nodes")
     texts = only(docs, id_col, text_col).select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").cast("string").alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
-    links = None
     keys = index_keys(nodes)
-    shared = keys.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    open_rows = stored(keys.join(shared, "key"), "shared-keys").withColumn("label", F.col("doc"))
-    tried = None
+    first = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("b")).filter("c > 1").select("key", "b")
+    open_rows = stored(keys.join(first.hint("merge"), "key").withColumn("label", F.col("doc")), "shared-keys")
+    links = tried = None
     for turn in range(HUB_ROUNDS + 1):
-        if turn < HUB_ROUNDS:
-            first = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("order"), "doc", "label")
-            hubs = open_rows.groupBy("key").agg(F.min(first).alias("hub")).select("key", F.col("hub.doc").alias("b"), F.col("hub.label").alias("b_label"))
-            met = open_rows.join(hubs, "key").filter("label <> b_label").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("c"))
-            pairs = met.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
-        else:
+        if turn == HUB_ROUNDS:
             pairs = left_over(open_rows, nodes, percent)
+        else:
+            met = open_rows.filter("doc <> b") if turn == 0 else with_hubs(open_rows, turn)
+            pairs = met.groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
@@ -144,7 +134,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         new = confirmed(pairs, texts, percent)
         links = new if links is None else links.unionByName(new)
         labels = stored(components(links), "labels")
-        rows = open_rows.drop("label").join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+        rows = open_rows.select("key", "doc").join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
         rows = stored(rows, "open-rows")
         mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         open_rows = stored(rows.join(mixed, "key"), "open-rows")
@@ -159,14 +149,56 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))
 
 
+def with_hubs(open_rows: DataFrame, turn: int) -> DataFrame:
+    """The rows of each key beside one of its documents, picked by a hash, where that is of another component."""
+    order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc", "label")
+    hubs = open_rows.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.doc").alias("b"), F.col("hub.label").alias("b_label"))
+    return open_rows.drop("b").join(hubs.hint("merge"), "key").filter("label <> b_label")
+
+
 def left_over(open_rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a key and are within the distance and the possible sizes.
-
-    Sizes of similar sets differ by the factor 100 / percent at most: rows meet by key and band of sizes."""
-    step = float(np.log(100 / percent))
-    band = F.call_function("floor", F.log(F.col("n").cast("double")) / F.lit(step) + F.lit(1e-9)).cast("int")
-    rows = open_rows.join(nodes.select("doc", "n", "sig"), "doc").withColumn("band", band)
-    small = rows.select("key", "label", F.col("doc").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"), F.explode(F.array("band", F.col("band") + 1, F.col("band") - 1)).alias("band"))
-    large = rows.select("key", "band", F.col("label").alias("label_b"), F.col("doc").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
-    met = small.join(large, ["key", "band"]).filter(f"label <> label_b AND (n_a < n_b OR n_a = n_b AND a < b) AND 100 * n_a >= {percent} * n_b")
-    return met.filter(distance("sig_a", "sig_b") <= MAX_DISTANCE).select("a", "b").distinct()
+    """All pairs of different components that share a key, within the distance and the sizes that similar sets can have.
+
+    The rows of a key come together in blocks of BLOCK_ROWS; each two blocks of a key are a group of their own. Signatures
+    are compared with numpy inside a group, and only pairs within the distance come out."""
+    sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    rows = open_rows.select("key", "doc", "label").join(sizes.hint("merge"), "key").join(nodes.select("doc", "n", "sig").hint("merge"), "doc")
+    rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc", "label", "n", "sig")
+    grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 3):
+            i, j, mine, doc, label, n = (group.column(c).to_numpy() for c in (1, 2, 3, 4, 5, 6))
+            left = np.flatnonzero(mine == i[0])
+            right = left if i[0] == j[0] else np.flatnonzero(mine == j[0])
+            sig = group.column(7).combine_chunks().flatten().to_numpy().view(np.uint16).reshape(len(doc), SYMBOLS)
+            found: list[np.ndarray] = []
+            for at in left:
+                near = right[(doc[right] > doc[at]) | ((doc[right] < doc[at]) & (i[0] != j[0]))]
+                near = near[(label[near] != label[at]) & (100 * np.minimum(n[near], n[at]) >= percent * np.maximum(n[near], n[at]))]
+                near = near[(sig[near] != sig[at]).sum(axis=1) <= MAX_DISTANCE] if len(near) else near
+                if len(near):
+                    found.append(np.stack([np.full(len(near), doc[at]), doc[near]]))
+            if found:
+                a, b = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return grouped.mapInArrow(compare, "a long, b long").distinct()
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The groups of equal values in the first columns of ordered batches, each whole."""
+    held: pa.Table | None = None
+    for batch in batches:
+        now = pa.Table.from_batches([batch])
+        held = now if held is None else pa.concat_tables([held, now])
+        marks = [held.column(c).to_numpy() for c in range(keys)]
+        starts = np.flatnonzero(np.any([m[1:] != m[:-1] for m in marks], axis=0)) + 1 if len(held) else []
+        last = 0
+        for start in starts:
+            yield held.slice(last, start - last)
+            last = start
+        held = held.slice(last)
+    if held is not None and len(held):
+        yield held

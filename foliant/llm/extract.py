@@ -59,7 +59,7 @@ class Blocks(HTMLParser):
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             self.flush()
             while self.stack and any(tag in CLOSED_BY.get(t, ()) for t, _ in self.stack[-4:] if t in CLOSED_BY) and self._pop_to(next((t for t, _ in reversed(self.stack[-4:]) if tag in CLOSED_BY.get(t, ())), "")):
                 pass
@@ -85,7 +85,7 @@ class Blocks(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in INLINE:
+        if tag not in INLINE and tag not in RAW:
             self.flush()
         self._pop_to(tag)
 

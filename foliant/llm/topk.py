@@ -25,6 +25,10 @@ BLOCK_ROWS, QUERY_ROWS = 65_536, 1024
 LONG_MAX = (1 << 63) - 1
 
 
+#: Doubles as integers of any size.
+_whole = np.frompyfunc(int, 1, 1)
+
+
 class SortedLists:
     """A block of integer vectors, and its rows in order of each component."""
 
@@ -38,7 +42,7 @@ class SortedLists:
         """Ids and scores of the k best rows but those with own_id; ties go to smaller ids."""
         n, d = self.rows.shape
         exact = self.largest * int(np.abs(query).max(initial=0)) * d < 1 << 53
-        rows, query = (self.rows, query) if exact else (self.rows.astype(np.int64).astype(object), query.astype(np.int64).astype(object))
+        rows, query = (self.rows, query) if exact else (_whole(self.rows), _whole(query))
         met = self.ids == own_id
         top, scores = np.empty(0, np.int64), np.empty(0, rows.dtype)
         up, down, used = np.flatnonzero(query < 0), np.flatnonzero(query > 0), np.flatnonzero(query != 0)
@@ -66,7 +70,10 @@ def to_integers(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Da
     non-finite component are left out."""
     v = F.col(vec_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    whole = F.transform(v, lambda x: F.call_function("floor", x * F.lit(float(scale))).cast("double"))
+    def floor(x):
+        return F.when(F.abs(x) < F.lit(2.0**53), F.floor(x).cast("double")).otherwise(x)  # larger doubles are whole
+
+    whole = F.transform(v, lambda x: floor(x * F.lit(float(scale))))
     return only(vectors, id_col, vec_col).filter(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 

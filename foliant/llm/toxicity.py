@@ -34,7 +34,7 @@ from foliant.llm.shingles import shingle_set
 #: Weight of each place that a subsequence takes, and most places; letters of a unit that are compared at once.
 DECAY, STRETCH, WIDEST = 0.5, 7, 20
 #: Labelled rows for training, toxic and clean, and their longest text; landmarks; negative units in a round.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 1500, 3000, 20_000, 200, 6000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 1200, 2000, 20_000, 200, 6000
 #: Rounds of training on bags; steps of the solver; weight of the regulariser.
 ROUNDS, STEPS, REGULAR = 4, 12, 1e-5
 #: Classes of letters: a to z, the begin of a unit, and the rest hashed to the others; 0 is no letter.
@@ -215,8 +215,8 @@ def train(toxic: list[str], clean: list[str], seed: int = 1) -> Machine:
     all units; later ones are what the machine ranks above its border in toxic texts."""
     rng = np.random.default_rng(seed)
     toxic, clean = unlike(toxic), unlike(clean)
-    bags = [b for t in toxic if (b := units(t.lower()))]
-    clean_bags = [units(t.lower()) for t in clean]
+    one: dict[str, str] = {}  # equal words of all bags are one object
+    bags, clean_bags = ([{one.setdefault(w, w) for w in bag} for t in some if (bag := units(t.lower()))] for some in (toxic, clean))
     good = Counter(w for bag in clean_bags for w in bag)
     bad = Counter(w for bag in bags for w in bag)
     if not bags or not good:
