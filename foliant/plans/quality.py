@@ -14,7 +14,7 @@ def file_results(labels, docs):
 def summary(results):
     """By engine: all files, errors, means over those without error, share of multi-page passes, sum of costs."""
     ok = F.col("error").isNull()
-    mean = lambda c: F.round(F.avg(F.when(ok, F.col(c))), 4).alias(c)
+    mean = lambda c: F.try_divide(F.sum(F.when(ok, F.round(F.col(c) * 10_000).cast("long"))), F.count(F.when(ok, F.col(c))) * 10_000).alias(c)  # noqa: E731  whole ten-thousandths, so that sums are exact
     return results.groupBy("engine").agg(F.count("*").alias("total_files"), F.count_if(~ok).alias("errors"), mean("cer"), mean("table_match"), F.round(F.try_divide(F.count_if(ok & F.col("multipage_ok")), F.count_if(ok)), 6).alias("multipage"))
 
 
@@ -27,7 +27,7 @@ def agg_file_metrics(spark, sf_dir):
     return file_results(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")).drop("cost")
 
 
-@query(f"SELECT engine, count(*) AS total_files, count(error) AS errors, round(avg(cer) FILTER (error IS NULL), 4) AS cer, round(avg(table_match) FILTER (error IS NULL), 4) AS table_match, round(count(*) FILTER (error IS NULL AND multipage_ok) * 1.0 / nullif(count(*) FILTER (error IS NULL), 0), 6) AS multipage FROM ({RESULTS}) GROUP BY 1")
+@query(f"SELECT engine, count(*) AS total_files, count(error) AS errors, CAST(sum(CAST(round(cer * 10000) AS BIGINT)) FILTER (error IS NULL) AS DOUBLE) / CAST(count(cer) FILTER (error IS NULL) * 10000 AS DOUBLE) AS cer, CAST(sum(CAST(round(table_match * 10000) AS BIGINT)) FILTER (error IS NULL) AS DOUBLE) / CAST(count(table_match) FILTER (error IS NULL) * 10000 AS DOUBLE) AS table_match, round(count(*) FILTER (error IS NULL AND multipage_ok) * 1.0 / nullif(count(*) FILTER (error IS NULL), 0), 6) AS multipage FROM ({RESULTS}) GROUP BY 1")
 def agg_eval_summary(spark, sf_dir):
     return summary(file_results(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")))
 
