@@ -23,9 +23,9 @@ def by_decision(docs: DataFrame, decided: DataFrame) -> DataFrame:
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages; their column lang becomes the language found."""
-    found = langid.identify(docs, LANGUAGES).filter("kept").select(F.col("doc_id").alias("_id"), "language").dropDuplicates(["_id"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]))
-    return joined.withColumn("lang", F.col("language")).select(*docs.columns)
+    found = langid.identify(docs, LANGUAGES).filter("kept").select(F.col("doc_id").alias("_found_id"), F.col("language").alias("_found_language")).dropDuplicates(["_found_id"])
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_found_id"]))
+    return joined.select(*[F.col("_found_language").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
