@@ -212,6 +212,12 @@ def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
     return BpeCodec(load_ranks(ranks_path), pattern)
 
 
+@functools.cache
+def memory_of(ranks_path: str, pattern: str) -> WordMemory:
+    """One memory for all tasks that a worker process runs."""
+    return WordMemory(codec_of(ranks_path, pattern))
+
+
 def digest_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode and decode every whole text; per row: id, n_tokens, SHA-256 of the ids and of the decoded bytes.
 
@@ -222,7 +228,7 @@ def digest_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = codec_of(ranks_path, pattern)
-        words = WordMemory(codec)
+        words = memory_of(ranks_path, pattern)
         for batch in batches:
             counts, encoded, decoded = [], [], []
             for line in words.lines([text or "" for text in batch.column(1).to_pylist()]):
@@ -238,15 +244,15 @@ def digest_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
 
 
 def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", out_col: str = "token_ids") -> DataFrame:
-    """All rows and columns of docs, and the ids of the text in out_col (an empty array for a null text)."""
+    """All rows and columns of docs, and the ids of the text in out_col (an empty array for a null text), in place of a
+    column that has this name. Repeated rows stay; no rows give no rows."""
     bound_batches(docs.sparkSession)
+    docs = docs.drop(out_col)
     names = docs.columns
-    if out_col in names:
-        raise ValueError(f"the input has a column {out_col}; name another out_col")
     at = names.index(text_col)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordMemory(codec_of(ranks_path, pattern))
+        words = memory_of(ranks_path, pattern)
         for batch in batches:
             rows = [list(map(int, line.split())) for line in words.lines([text or "" for text in batch.column(at).to_pylist()])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], [*names, out_col])
