@@ -5,9 +5,9 @@ MAX_DISTANCE = 2 * CHUNKS - 1 symbols have, by the pigeonhole principle, a chunk
 each document is indexed under every chunk with each one of its symbols left out: all pairs within the distance meet
 under a key. At a similarity of 0.75 a symbol differs with probability 0.25; more than 31 of 64 do with about 1e-5.
 
-Texts of equal sets are one node. Within a key not all pairs are compared: every node is compared with one hub, links
-found make components, and only keys that still hold several components are looked at again, with other hubs. At last
-all pairs of different components that are left within the distance are compared. So every pair within the distance is
+Texts of equal sets are one node. Within a key not all pairs are verified: every node is compared with one hub, links
+found make components, and only keys that still hold several components are looked at again, each node with the closest
+one of another component. At last all pairs of different components that are left within the distance are verified. So every pair within the distance is
 either compared on its full sets or known to be connected.
 """
 
@@ -27,8 +27,8 @@ from foliant.llm.shingles import common, mix, shingle_set
 
 SYMBOLS, CHUNKS = 64, 16
 MAX_DISTANCE = 2 * CHUNKS - 1
-#: Rounds of comparing with hubs before all pairs that are left are compared.
-HUB_ROUNDS = 2
+#: Rounds of comparing with the closest of other components before all pairs that are left are compared.
+CLOSEST_ROUNDS = 2
 #: Rows of a key that are compared with each other at once; larger keys are cut into blocks that meet in pairs.
 BLOCK_ROWS = 1024
 #: Ids that are broadcast to pick texts; of more, texts and ids are joined by a shuffle.
@@ -68,10 +68,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def index_keys(nodes: DataFrame) -> DataFrame:
-    """key, doc: each chunk of the signature with each one of its four symbols left out."""
+    """key, p, doc: each chunk of the signature with each one of its four symbols left out, the p-th of these patterns."""
     masks = [-1 - (0xFFFF << 16 * i) for i in range(3)] + [(1 << 48) - 1]
     parts = [F.xxhash64(F.lit(4 * c + i), F.get("sig", F.lit(c)).bitwiseAND(F.lit(m).cast("long"))) for c in range(CHUNKS) for i, m in enumerate(masks)]
-    return nodes.select(F.explode(F.array(*parts)).alias("key"), "doc")
+    return nodes.select(F.posexplode(F.array(*parts)).alias("p", "key"), "doc").withColumn("p", F.col("p").cast("byte"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -116,25 +116,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("doc").alias("b")).filter("c > 1").select("key", "b")
     open_rows = stored(keys.join(first.hint("merge"), "key").withColumn("label", F.col("doc")), "shared-keys")
     links = tried = None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn == HUB_ROUNDS:
-            pairs = left_over(open_rows, nodes, percent)
+    for turn in range(CLOSEST_ROUNDS + 2):
+        if turn == 0:
+            met = open_rows.filter("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("c"))
+            pairs = met.groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+        elif turn <= CLOSEST_ROUNDS:
+            pairs = met_in_keys(open_rows, nodes, percent, closest=True).groupBy("a").agg(F.min_by("b", F.struct("d", "b")).alias("b"))
         else:
-            met = open_rows.filter("doc <> b") if turn == 0 else with_hubs(open_rows, turn)
-            pairs = met.groupBy(F.col("doc").alias("a"), "b").agg(F.count("*").alias("c")).groupBy("a").agg(F.max_by("b", F.struct("c", -F.col("b"))).alias("b"))
+            pairs = met_in_keys(open_rows, nodes, percent, closest=False)
         pairs = pairs.select(F.least("a", "b").alias("b"), F.greatest("a", "b").alias("a")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stored(pairs.select("a", "b"), "pairs")
         if pairs.isEmpty():
-            if turn < HUB_ROUNDS:
-                continue
-            break
+            continue
         tried = pairs if tried is None else tried.unionByName(pairs)
         new = confirmed(pairs, texts, percent)
         links = new if links is None else links.unionByName(new)
         labels = stored(components(links), "labels")
-        rows = open_rows.select("key", "doc").join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").select("key", "doc", F.coalesce("label", "doc").alias("label"))
+        rows = open_rows.select("key", "p", "doc").join(labels.select(F.col("node").alias("doc"), F.col("component").alias("label")), "doc", "left").select("key", "p", "doc", F.coalesce("label", "doc").alias("label"))
         rows = stored(rows, "open-rows")
         mixed = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key")
         open_rows = stored(rows.join(mixed, "key"), "open-rows")
@@ -149,42 +149,54 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(f"`{id_col}`") == F.col("component_id"), F.lit(True)))
 
 
-def with_hubs(open_rows: DataFrame, turn: int) -> DataFrame:
-    """The rows of each key beside one of its documents, picked by a hash, where that is of another component."""
-    order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("order"), "doc", "label")
-    hubs = open_rows.groupBy("key").agg(F.min(order).alias("hub")).select("key", F.col("hub.doc").alias("b"), F.col("hub.label").alias("b_label"))
-    return open_rows.drop("b").join(hubs.hint("merge"), "key").filter("label <> b_label")
-
-
-def left_over(open_rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """All pairs of different components that share a key, within the distance and the sizes that similar sets can have.
+def met_in_keys(open_rows: DataFrame, nodes: DataFrame, percent: int, closest: bool) -> DataFrame:
+    """Pairs (a, b) of different components that share a key, within the distance d and the sizes that similar sets can have:
+    all of them, each from the first key that it shares; or for each document and key the closest of another component.
 
     The rows of a key come together in blocks of BLOCK_ROWS; each two blocks of a key are a group of their own. Signatures
-    are compared with numpy inside a group, and only pairs within the distance come out."""
+    are compared with numpy inside a group, and only what is asked for comes out."""
     sizes = open_rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    rows = open_rows.select("key", "doc", "label").join(sizes.hint("merge"), "key").join(nodes.select("doc", "n", "sig").hint("merge"), "doc")
+    rows = open_rows.select("key", "p", "doc", "label").join(sizes.hint("merge"), "key").join(nodes.select("doc", "n", "sig").hint("merge"), "doc")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc", "label", "n", "sig")
+    rows = rows.select("key", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc", "label", "n", "p", "sig")
     grouped = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
-            i, j, mine, doc, label, n = (group.column(c).to_numpy() for c in (1, 2, 3, 4, 5, 6))
+            i, j, mine, doc, label, n, p = (group.column(c).to_numpy() for c in range(1, 8))
+            sig = group.column(8).combine_chunks().flatten().to_numpy().view(np.uint16).reshape(len(doc), SYMBOLS)
             left = np.flatnonzero(mine == i[0])
             right = left if i[0] == j[0] else np.flatnonzero(mine == j[0])
-            sig = group.column(7).combine_chunks().flatten().to_numpy().view(np.uint16).reshape(len(doc), SYMBOLS)
             found: list[np.ndarray] = []
-            for at in left:
-                near = right[(doc[right] > doc[at]) | ((doc[right] < doc[at]) & (i[0] != j[0]))]
-                near = near[(label[near] != label[at]) & (100 * np.minimum(n[near], n[at]) >= percent * np.maximum(n[near], n[at]))]
-                near = near[(sig[near] != sig[at]).sum(axis=1) <= MAX_DISTANCE] if len(near) else near
-                if len(near):
-                    found.append(np.stack([np.full(len(near), doc[at]), doc[near]]))
+            for some, others in [(left, right), (right, left)] if closest and i[0] != j[0] else [(left, right)]:
+                for at in some:
+                    near = others if closest or i[0] != j[0] else others[doc[others] > doc[at]]
+                    near = near[(label[near] != label[at]) & (100 * np.minimum(n[near], n[at]) >= percent * np.maximum(n[near], n[at]))]
+                    if not len(near):
+                        continue
+                    differ = sig[near] != sig[at]
+                    d = differ.sum(axis=1)
+                    keep = d <= MAX_DISTANCE
+                    if closest:
+                        keep &= d == d.min()
+                        keep[keep.argmax() + 1 :] = False
+                    elif keep.any():
+                        keep &= first_shared(differ) == p[0]
+                    found.append(np.stack([np.full(keep.sum(), doc[at]), doc[near][keep], d[keep]]))
             if found:
-                a, b = np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                a, b, d = np.concatenate(found, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "d"])
+
+    return grouped.mapInArrow(compare, "a long, b long, d long")
+
 
-    return grouped.mapInArrow(compare, "a long, b long").distinct()
+def first_shared(differ: np.ndarray) -> np.ndarray:
+    """The first pattern under which two signatures meet, from where their symbols differ: of the first chunk that differs
+    in one symbol at most, that with this symbol left out, or the first if none differs."""
+    chunks = differ.reshape(-1, CHUNKS, SYMBOLS // CHUNKS)
+    errors = chunks.sum(axis=2)
+    chunk = (errors <= 1).argmax(axis=1)
+    return 4 * chunk + chunks[np.arange(len(chunks)), chunk].argmax(axis=1)
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
