@@ -273,12 +273,16 @@ def held_out(id_col: str) -> Column:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Machine:
-    """Train on TOXIC_ROWS and CLEAN_ROWS labelled rows at most, the first in the order of a hash of their ids, of texts
-    up to SAMPLE_CHARS; only these come to the driver."""
+    """Train on TOXIC_ROWS and CLEAN_ROWS labelled rows at most, the first in the order of a hash of their ids; of these,
+    documents that are missing, empty or over SAMPLE_CHARS are left out. The ids are picked from the labels alone, so they are
+    few enough to broadcast, and no text is shuffled."""
     known = only(labels, id_col, "toxic").filter(~held_out(id_col)).filter("toxic IN (0, 1)").dropDuplicates([id_col])
-    rows = only(docs, id_col, text_col).filter(F.char_length(f"`{text_col}`").between(1, SAMPLE_CHARS)).join(known, id_col)
-    texts = [[r[0] for r in rows.filter(F.col("toxic") == c).orderBy(F.xxhash64(id_col), id_col, text_col).limit(n).select(text_col).collect()] for c, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
-    return train(*texts)
+    order = [F.xxhash64(id_col), F.col(id_col)]
+    picked = [known.filter(F.col("toxic") == c).orderBy(*order).limit(n) for c, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
+    rows = only(docs, id_col, text_col).filter(F.char_length(f"`{text_col}`").between(1, SAMPLE_CHARS))
+    sample = rows.join(F.broadcast(picked[0].unionByName(picked[1])), id_col).dropDuplicates([id_col]).select(id_col, "toxic", text_col).collect()
+    sample.sort(key=lambda r: r[0])
+    return train([r[2] for r in sample if r[1] == 1], [r[2] for r in sample if r[1] == 0])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -287,7 +291,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     The score depends on the whole text alone. Null and empty texts have the score of a text without units. A null id is
     not held out; repeated rows give repeated results; rows with null labels, or labels without a document, are not learnt
     from. Without labels of both classes every score is low. The machine, one weight for each of CLASSES ** 3
-    subsequences, goes to the tasks with their code; no text is shuffled but those of the sample.
+    subsequences, goes to the tasks with their code; of texts only those of the sample are shuffled.
     """
     bound_batches(docs.sparkSession)
     machine = train_on(docs, labels, id_col, text_col)
