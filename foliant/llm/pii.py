@@ -4,13 +4,14 @@ One regular expression finds the entities of a text; what lies between them is k
 a secret key and the entity alone decide, so one entity has one surrogate in the whole corpus (coreference):
 - numbers (cards, phones, IPv4 addresses, social security numbers) go through a keyed Feistel permutation of the digits
   of their format, so different numbers of a format stay different; cards get a valid check digit again;
-- e-mail addresses, secrets and names get parts of a keyed hash, of 64 bits at least. A grouped check over all entities
-  looks for two that share a surrogate; if there are any, the next key of a fixed sequence is taken for all.
+- e-mail addresses, secrets and each word of a name get parts of a keyed hash, of 64 bits at least. A grouped check over
+  all entities looks for two that share a surrogate; if there are any, the next key of a fixed sequence is taken for all.
 Names follow a title or a well-known given name; their surrogates have the gender and script of the name.
 """
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,19 +22,38 @@ from foliant.llm.common import stored
 #: Keys that are tried before giving up; a second is needed with a chance of about n * n / 2**65 for n entities.
 MAX_KEYS = 8
 
-# Given names by script and gender, and titles by gender.
-LATIN_MALE = ["Adrian", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Nico", "Oscar", "Paul"]
-LATIN_FEMALE = ["Alice", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula"]
-CYRILLIC_MALE = ["Андрей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Леонид", "Максим", "Никита", "Олег", "Павел", "Роман", "Сергей", "Фёдор"]
-CYRILLIC_FEMALE = ["Алина", "Белла", "Вера", "Галина", "Дарья", "Елена", "Инна", "Кира", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Юлия"]
+# Given names by script and gender, titles by gender, and the sixteen begins and ends of syllables; as every
+# syllable begins with a consonant before a vowel, syllables in a row read in one way only.
+LATIN_MALE_NAMES = ["Adrian", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Nico", "Oscar", "Paul"]
+LATIN_FEMALE_NAMES = ["Alice", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula"]
+CYRILLIC_MALE_NAMES = ["Андрей", "Борис", "Виктор", "Глеб", "Денис", "Егор", "Иван", "Кирилл", "Леонид", "Максим", "Никита", "Олег", "Павел", "Роман", "Сергей", "Фёдор"]
+CYRILLIC_FEMALE_NAMES = ["Алина", "Белла", "Вера", "Галина", "Дарья", "Елена", "Инна", "Кира", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Раиса", "Софья", "Юлия"]
 MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
-LATIN_SYLLABLES = ["ba", "de", "fi", "go", "ha", "je", "ki", "lo", "ma", "ne", "pi", "ro", "sa", "te", "vi", "zo"]
-CYRILLIC_SYLLABLES = ["ба", "де", "фи", "го", "ха", "же", "ки", "ло", "ма", "не", "пи", "ро", "са", "те", "ви", "зо"]
+LATIN_SYLLABLES = (list("bdfghjklmnprstvz"), [v + c for v in "aeiou" for c in ("", "n", "l")] + ["ei"])
+CYRILLIC_SYLLABLES = (list("бдфгхжклмнпрствз"), [v + c for v in "аеиоу" for c in ("", "н", "л")] + ["ай"])
+#: Syllables of a surrogate's word, of eight bits each.
+SYLLABLES = 8
+
+
+class GivenNames:
+    """The surrogates for given names of a gender and script: a known name drawn out by SYLLABLES syllables. They are
+    16 times 2**64, so membership is a pattern's."""
+
+    def __init__(self, begins: list[str], syllables: tuple[list[str], list[str]]):
+        self.begins, self.syllables = begins, syllables
+        self.pattern = re.compile("(?:%s)(?:(?:%s)(?:%s)){%d}" % (*("|".join(x) for x in (begins, *syllables)), SYLLABLES))
+
+    def __contains__(self, name: str) -> bool:
+        return self.pattern.fullmatch(name) is not None
+
+
+LATIN_MALE, LATIN_FEMALE = GivenNames(LATIN_MALE_NAMES, LATIN_SYLLABLES), GivenNames(LATIN_FEMALE_NAMES, LATIN_SYLLABLES)
+CYRILLIC_MALE, CYRILLIC_FEMALE = GivenNames(CYRILLIC_MALE_NAMES, CYRILLIC_SYLLABLES), GivenNames(CYRILLIC_FEMALE_NAMES, CYRILLIC_SYLLABLES)
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME = r"\p{Lu}[\p{Ll}'’-]+"
-GIVEN = "|".join(LATIN_MALE + LATIN_FEMALE + CYRILLIC_MALE + CYRILLIC_FEMALE)
+GIVEN = "|".join(LATIN_MALE_NAMES + LATIN_FEMALE_NAMES + CYRILLIC_MALE_NAMES + CYRILLIC_FEMALE_NAMES)
 HOST = r"[\p{L}\d](?:[\p{L}\d-]*+(?<!-))(?:\.[\p{L}\d](?:[\p{L}\d-]*+(?<!-)))+"
 EMAIL = rf"[\p{{L}}\d][\p{{L}}\d._%+-]*+@{HOST}"
 ACCESS_KEY = r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
@@ -127,19 +147,26 @@ def new_digits(items: Column, key: str) -> Column:
 
 
 def name_surrogate(text: Column, key: str) -> Column:
-    """Title kept; a given name of the same gender and script, and a family name of six syllables for each family name."""
+    """Title kept; a given name of the same gender and script for each given name, and a family name for each family
+    name. Each word holds 64 bits of a hash in its syllables, so that words stay different, and so do whole names."""
     words = F.split(F.regexp_replace(text, rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? ", ""), " ")
     title = F.regexp_extract(text, rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? ", 0)
     cyrillic = text.rlike(r"\p{IsCyrillic}")
     female_title = title.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\b")
-    female = female_title | ((title == "") & F.get(words, F.lit(0)).isin(*LATIN_FEMALE, *CYRILLIC_FEMALE))
-    pick = lambda names, word: F.get(F.array(*map(F.lit, names)), hash_below(f"{key}/given", F.lit(len(names)).cast("long"), word).cast("int"))
-    given = lambda word: F.when(cyrillic & female, pick(CYRILLIC_FEMALE, word)).when(cyrillic, pick(CYRILLIC_MALE, word)).when(female, pick(LATIN_FEMALE, word)).otherwise(pick(LATIN_MALE, word))
+    female = female_title | ((title == "") & F.get(words, F.lit(0)).isin(*LATIN_FEMALE_NAMES, *CYRILLIC_FEMALE_NAMES))
+    nth = lambda some, h, i: F.get(F.array(*map(F.lit, some)), F.conv(F.substring(h, i, F.lit(1)), 16, 10).cast("int"))
+
+    def made(syllables: tuple[list[str], list[str]], h: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(SYLLABLES)), lambda i: F.concat(nth(syllables[0], h, 2 * i - 1), nth(syllables[1], h, 2 * i))), "")
+
+    def given(word: Column) -> Column:
+        h = keyed(f"{key}/given", word)
+        drawn_out = lambda names: F.concat(nth(names.begins, h, F.lit(2 * SYLLABLES + 1)), made(names.syllables, h))
+        return F.when(cyrillic & female, drawn_out(CYRILLIC_FEMALE)).when(cyrillic, drawn_out(CYRILLIC_MALE)).when(female, drawn_out(LATIN_FEMALE)).otherwise(drawn_out(LATIN_MALE))
 
     def family(word: Column) -> Column:
-        h = F.substring(keyed(f"{key}/family", word), 1, 6)
-        made = lambda syllables: F.initcap(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: F.get(F.array(*map(F.lit, syllables)), F.conv(F.substring(h, i, F.lit(1)), 16, 10).cast("int"))), ""))
-        return F.when(cyrillic, made(CYRILLIC_SYLLABLES)).otherwise(made(LATIN_SYLLABLES))
+        h = keyed(f"{key}/family", word)
+        return F.initcap(F.when(cyrillic, made(CYRILLIC_SYLLABLES, h)).otherwise(made(LATIN_SYLLABLES, h)))
 
     last = F.element_at(words, -1)
     return F.concat(title, F.when(F.size(words) > 1, F.concat(given(F.get(words, F.lit(0))), F.lit(" "), family(last))).otherwise(family(last)))
@@ -187,7 +214,7 @@ def sound_key(docs: DataFrame, text_col: str, key: str) -> str:
     """The first of the keys made from key under which no two different entities of the corpus share a surrogate.
 
     Distinct entities and surrogates are counted by groups; no entity comes to the driver. Numbers are permuted and need
-    no check; names may share a given name, so whole names are compared.
+    no check. Of names the whole surrogate is compared, of the others the value.
     """
     entities = docs.select(F.explode(found_entities(F.col(f"`{text_col}`"))).alias("e")).distinct()
     hashed = entities.withColumn("kind", kind_of(F.col("e"))).filter(F.col("kind").isin("email", "key", "secret", "name"))
@@ -195,8 +222,9 @@ def sound_key(docs: DataFrame, text_col: str, key: str) -> str:
     hashed = stored(hashed.select("e", "who", "kind"), "entities")
     for i in range(MAX_KEYS):
         tried = f"{key}/{i}"
-        made = hashed.select("kind", "who", F.regexp_extract(F.get(surrogates(F.array("e"), tried), F.lit(0)), VALUE, 0).alias("s"))
-        if made.filter(F.col("kind") != "name").groupBy("s").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).filter("lo <> hi").isEmpty():
+        made = hashed.select("kind", "who", F.get(surrogates(F.array("e"), tried), F.lit(0)).alias("s"))
+        made = made.withColumn("s", F.when(F.col("kind") == "name", F.col("s")).otherwise(F.regexp_extract("s", VALUE, 0)))
+        if made.groupBy("s").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).filter("lo <> hi").isEmpty():
             return tried
     raise ValueError(f"all of {MAX_KEYS} keys give two entities one surrogate")
 

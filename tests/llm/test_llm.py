@@ -262,6 +262,18 @@ def test_surrogates_of_numbers_stay_distinct(spark):
         assert made.distinct().count() == 3000 and made.filter(F.col("s").isNull()).count() == 0
 
 
+def test_surrogates_of_names_stay_distinct(spark, monkeypatch):
+    given = spark.range(0, 3000).selectExpr("concat('Mr. J', translate(cast(id AS string), '0123456789', 'abcdefghij'), ' Smith') AS e")
+    families = spark.range(0, 20000).selectExpr("concat('Alice S', translate(cast(id AS string), '0123456789', 'abcdefghij')) AS e")
+    firsts = spark.createDataFrame([(f"{a} Smith",) for a in pii.LATIN_MALE_NAMES + pii.LATIN_FEMALE_NAMES], "e string")
+    for some in (given, families, firsts):
+        made = some.select(F.get(pii.surrogates(F.array("e"), "k"), F.lit(0)).alias("s"))
+        assert made.distinct().count() == some.count() and made.filter(F.col("s").isNull()).count() == 0
+    monkeypatch.setattr(pii, "name_surrogate", lambda text, key: F.concat(F.lit("Al Bo"), F.sha2(text, 256) if key.endswith("/2") else F.lit("")))
+    docs = spark.createDataFrame([("Alice Smith",), ("Berta Smith",)], "text string")
+    assert pii.sound_key(docs, "text", "k") == "k/2"
+
+
 def test_licences():
     model = licenses.trained()
     say = lambda t: (model.classify(t) or (licenses.UNKNOWN,))[0]
