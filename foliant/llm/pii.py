@@ -58,16 +58,20 @@ HOST = r"[\p{L}\d](?:[\p{L}\d-]*+(?<!-))(?:\.[\p{L}\d](?:[\p{L}\d-]*+(?<!-)))+"
 EMAIL = rf"[\p{{L}}\d][\p{{L}}\d._%+-]*+@{HOST}"
 ACCESS_KEY = r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"""(?:[Pp]ass(?:word|wd)|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)\s{0,3}[=:]\s{0,3}["']?[^\s"',;=:]{6,}"""
-CARD = r"\d(?:[ -]?\d){12,18}(?![\p{L}\d])"
 IP = rf"(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\d]|\.\d)"
 PHONE = r"(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?![\p{L}\d])"
 SSN = r"\d{3}-\d{2}-\d{4}(?![\p{L}\d-])"
+#: Groups of digits in a row, of 13 digits at least, up to where another entity begins; cards are looked for inside.
+RUN = rf"(?=\d(?:[ -]?\d){{12}})\d++(?!\p{{L}})(?:[ -](?!{EMAIL}|{SSN}|{PHONE}|{IP})\d++(?!\p{{L}}))*+"
+#: The groupings in which cards are written; numbers of groups, the likelier first.
+CARD = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}"
+CARD_GROUPS = (1, 4, 3, 5)
 TITLED = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? {NAME}(?: {NAME})?"
 GIVEN_NAME = rf"(?:{GIVEN}) {NAME}"
 #: The value at the end of a secret.
 VALUE = r"""[^\s"',;=:]+$"""
 #: Every entity begins after something that is neither letter nor digit.
-ENTITY = rf"(?<![\p{{L}}\d])(?:{'|'.join([EMAIL, ACCESS_KEY, SECRET, SSN, PHONE, CARD, IP, TITLED, GIVEN_NAME])})"
+ENTITY = rf"(?<![\p{{L}}\d])(?:{'|'.join([EMAIL, ACCESS_KEY, SECRET, SSN, PHONE, RUN, IP, TITLED, GIVEN_NAME])})"
 
 
 def digits_of(text: Column) -> Column:
@@ -80,13 +84,53 @@ def luhn_sum(digits: Column) -> Column:
     return F.aggregate(each, F.lit(0), lambda a, d: a + F.when(d > 9, d - 9).otherwise(d))
 
 
+def is_card(text: Column) -> Column:
+    digits = digits_of(text)
+    return F.when(F.length(digits).between(13, 19), luhn_sum(digits) % 10 == 0).otherwise(False)
+
+
 def kind_of(entity: Column) -> Column:
-    """The kind of a found entity; null for a long number that is no card."""
+    """The kind of a found entity; null for numbers that are no card."""
     whole = lambda pattern: entity.rlike(f"^(?:{pattern})$")
-    card = (luhn_sum(digits_of(entity)) % 10 == 0) & F.length(digits_of(entity)).between(13, 19)
-    kinds = [(EMAIL, "email"), (ACCESS_KEY, "key"), (SSN, "ssn"), (PHONE, "phone"), (IP, "ip"), (TITLED, "name"), (GIVEN_NAME, "name")]
-    found = reduce(lambda c, x: c.when(whole(x[0]), F.lit(x[1])), kinds, F.when(whole(CARD), F.when(card, F.lit("card"))))
-    return found.otherwise(F.lit("secret"))
+    kinds = [(ACCESS_KEY, "key"), (SSN, "ssn"), (PHONE, "phone"), (IP, "ip"), (TITLED, "name"), (GIVEN_NAME, "name")]
+    found = reduce(lambda c, x: c.when(whole(x[0]), F.lit(x[1])), kinds, F.when(whole(EMAIL), F.lit("email")))
+    return found.when(whole(r"[\d -]*"), F.when(is_card(entity), F.lit("card"))).otherwise(F.lit("secret"))
+
+
+def pieces(entity: Column) -> Column:
+    """A found entity as an array of parts that join to it: of a run of numbers each card and what lies between, as cards
+    stand beside dates, codes and counts; any other entity alone. Without a card in a usual grouping, a run of up to 19
+    digits, or the first groups of a longer one up to 19, are one part, in which any grouping may be a card."""
+    def split(groups: Column) -> Column:
+        joined = lambda some: F.array_join(some, "")
+
+        def card_at(i: Column) -> Column:
+            tried = F.transform(F.array(*map(F.lit, CARD_GROUPS)), lambda n: F.struct(n.alias("n"), F.regexp_replace(joined(F.slice(groups, i, n)), "[ -]$", "").alias("text")))
+            return F.get(F.filter(tried, lambda x: (i + x["n"] - 1 <= F.size(groups)) & x["text"].rlike(f"^(?:{CARD})$") & is_card(x["text"])), F.lit(0))
+
+        def between(state: Column, i: Column) -> Column:
+            """What stands between the last card and group i: the mark after the card, and groups."""
+            return F.concat(state["end"], joined(F.slice(groups, state["next"], i - state["next"])))
+
+        def step(state: Column, i: Column) -> Column:
+            def taken(card: Column) -> Column:
+                end = F.regexp_extract(F.get(groups, i + card["n"] - 2), "[ -]$", 0)
+                after = F.struct(F.concat(state["done"], F.array(between(state, i), card["text"])).alias("done"), end.alias("end"), (i + card["n"]).alias("next"))
+                return F.when(card.isNull(), state).otherwise(after)
+
+            return F.when(i < state["next"], state).otherwise(F.get(F.transform(F.array(card_at(i)), taken), F.lit(0)))
+
+        start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("end"), F.lit(1).alias("next"))
+
+        def cut(state: Column) -> Column:
+            head = F.regexp_extract(entity, r"^\d(?:[ -]?\d){0,18}(?!\d)", 0)
+            rest = F.array(head, F.substring(entity, F.length(head) + 1, F.length(entity)))
+            return F.when(F.size(state["done"]) == 0, rest).otherwise(F.concat(state["done"], F.array(between(state, F.size(groups) + 1))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.size(groups)), start, step, cut)
+
+    runs = F.array(F.regexp_extract_all(entity, F.lit(r"\d+[ -]?"), F.lit(0)))
+    return F.when(entity.rlike(f"^(?:{RUN})$"), F.get(F.transform(runs, split), F.lit(0))).otherwise(F.array(entity))
 
 
 def identity(text: Column, kind: Column) -> Column:
@@ -236,9 +280,10 @@ def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     key = sound_key(docs, text_col, key)
     text = F.col(f"`{text_col}`")
 
-    def rebuilt(entities: Column) -> Column:
+    def rebuilt(parts: Column) -> Column:
         between = F.split(text, ENTITY, -1)
-        pairs = F.zip_with(between, surrogates(entities, key), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-        return F.when(F.size(entities) == 0, text).otherwise(F.array_join(pairs, ""))
+        before = F.flatten(F.zip_with(F.slice(between, F.lit(1), F.size(parts)), parts, lambda a, p: F.concat(F.array(a), F.array_repeat(F.lit(""), F.size(p) - 1))))
+        pairs = F.zip_with(before, surrogates(F.flatten(parts), key), lambda a, b: F.concat(a, b))
+        return F.when(F.size(parts) == 0, text).otherwise(F.concat(F.array_join(pairs, ""), F.element_at(between, -1)))
 
-    return docs.withColumn(text_col, F.get(F.transform(F.array(found_entities(text)), rebuilt), F.lit(0)))
+    return docs.withColumn(text_col, F.get(F.transform(F.array(F.transform(found_entities(text), pieces)), rebuilt), F.lit(0)))

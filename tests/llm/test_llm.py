@@ -274,6 +274,21 @@ def test_surrogates_of_names_stay_distinct(spark, monkeypatch):
     assert pii.sound_key(docs, "text", "k") == "k/2"
 
 
+def test_cards_beside_other_numbers(spark):
+    card, spaced, amex = "4465758382889437", "4465 7583 8288 9437", "3782 822463 10005"
+    texts = [f"{card} 12/27", f"{card} 123", f"12 {card}", f"3 {spaced} 12-27", f"1234 {spaced} 5", f"{amex} 1234", f"{card} {card} 1", f"{card} 123-45-6789", f"{card} 555-123-4567 x", f"{card} 10.0.0.1", f"{card} 12ab", f"x {card}-9 and 1 2 3 4 5 6 7 8 9 1 2 3 4 5", "40418949746087 95", "1234 5678 9012 3456 7890 1234"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [r.text for r in pii.replace_pii(df, "k").orderBy("doc_id").collect()]
+    for text, new in zip(texts[:12], got):
+        assert not any(x in new for x in (card, spaced, amex, "123-45-6789", "555-123-4567", "10.0.0.1"))
+        assert len(new) == len(text) or "10.0.0.1" in text
+    hidden = got[0].split()[0]
+    assert got[0] == f"{hidden} 12/27" and got[1] == f"{hidden} 123" and got[2] == f"12 {hidden}" and got[10] == f"{hidden} 12ab"
+    assert got[6] == f"{hidden} {hidden} 1" and got[11] == f"x {hidden}-9 and 1 2 3 4 5 6 7 8 9 1 2 3 4 5"
+    assert got[3].startswith("3 ") and got[3].endswith(" 12-27") and got[4].startswith("1234 ") and got[4].endswith(" 5")
+    assert got[12] != texts[12] and got[13] == texts[13]
+
+
 def test_licences():
     model = licenses.trained()
     say = lambda t: (model.classify(t) or (licenses.UNKNOWN,))[0]
