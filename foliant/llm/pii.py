@@ -6,7 +6,8 @@ a secret key and the entity alone decide, so one entity has one surrogate in the
   of their format, so different numbers of a format stay different; cards get a valid check digit again;
 - e-mail addresses, secrets and each word of a name get parts of a keyed hash, of 64 bits at least. A grouped check over
   all entities looks for two that share a surrogate; if there are any, the next key of a fixed sequence is taken for all.
-Names follow a title or a well-known given name; their surrogates have the gender and script of the name.
+Names follow a title or begin with a given name of the lists in names.py; they go on over all capitalised words, initials
+and particles. Their surrogates have the gender and script of the name.
 """
 
 from __future__ import annotations
@@ -17,12 +18,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliant.llm import names
 from foliant.llm.common import stored
 
 #: Keys that are tried before giving up; a second is needed with a chance of about n * n / 2**65 for n entities.
 MAX_KEYS = 8
 
-# Given names by script and gender, titles by gender, and the sixteen begins and ends of syllables; as every
+# Given names that surrogates begin with by script and gender, titles by gender, and the sixteen begins and ends of syllables; as every
 # syllable begins with a consonant before a vowel, syllables in a row read in one way only.
 LATIN_MALE_NAMES = ["Adrian", "Bruno", "Carl", "David", "Emil", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Karl", "Leon", "Martin", "Nico", "Oscar", "Paul"]
 LATIN_FEMALE_NAMES = ["Alice", "Berta", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Irene", "Julia", "Klara", "Laura", "Maria", "Nora", "Olga", "Paula"]
@@ -52,8 +54,11 @@ LATIN_MALE, LATIN_FEMALE = GivenNames(LATIN_MALE_NAMES, LATIN_SYLLABLES), GivenN
 CYRILLIC_MALE, CYRILLIC_FEMALE = GivenNames(CYRILLIC_MALE_NAMES, CYRILLIC_SYLLABLES), GivenNames(CYRILLIC_FEMALE_NAMES, CYRILLIC_SYLLABLES)
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-NAME = r"\p{Lu}[\p{Ll}'’-]+"
-GIVEN = "|".join(LATIN_MALE_NAMES + LATIN_FEMALE_NAMES + CYRILLIC_MALE_NAMES + CYRILLIC_FEMALE_NAMES)
+#: A capitalised word of a name; what may stand before it in a name.
+NAME = r"\p{Lu}(?:\p{L}|['’-]\p{L})++"
+PARTICLES = ["von", "vom", "van", "de", "der", "den", "del", "della", "di", "da", "do", "dos", "du", "la", "le", "ten", "ter", "zu", "zum", "zur", "bin", "ibn", "al", "el"]
+BEFORE_NAME = rf"(?:(?:{'|'.join(PARTICLES)}|\p{{Lu}}\.) )*+"
+GIVEN = rf"{names.pattern_of(names.MALE.split() + names.FEMALE.split())}(?:['’-]\p{{L}}++)*+(?!\p{{L}})"
 HOST = r"[\p{L}\d](?:[\p{L}\d-]*+(?<!-))(?:\.[\p{L}\d](?:[\p{L}\d-]*+(?<!-)))+"
 EMAIL = rf"[\p{{L}}\d][\p{{L}}\d._%+-]*+@{HOST}"
 ACCESS_KEY = r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
@@ -66,8 +71,8 @@ RUN = rf"(?=\d(?:[ -]?\d){{12}})\d++(?!\p{{L}})(?:[ -](?!{EMAIL}|{SSN}|{PHONE}|{
 #: The groupings in which cards are written; numbers of groups, the likelier first.
 CARD = r"\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}"
 CARD_GROUPS = (1, 4, 3, 5)
-TITLED = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? {NAME}(?: {NAME})?"
-GIVEN_NAME = rf"(?:{GIVEN}) {NAME}"
+TITLED = rf"(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.?(?: {BEFORE_NAME}{NAME})++"
+GIVEN_NAME = rf"(?=\p{{Lu}}){GIVEN}(?: {BEFORE_NAME}{NAME})++"
 #: The value at the end of a secret.
 VALUE = r"""[^\s"',;=:]+$"""
 #: Every entity begins after something that is neither letter nor digit.
@@ -191,13 +196,13 @@ def new_digits(items: Column, key: str) -> Column:
 
 
 def name_surrogate(text: Column, key: str) -> Column:
-    """Title kept; a given name of the same gender and script for each given name, and a family name for each family
-    name. Each word holds 64 bits of a hash in its syllables, so that words stay different, and so do whole names."""
+    """Title and particles kept; a given name of the same gender and script for each word but the last, and a family name
+    for the last. Each word holds 64 bits of a hash in its syllables, so that words stay different, and so do whole names."""
     words = F.split(F.regexp_replace(text, rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? ", ""), " ")
     title = F.regexp_extract(text, rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? ", 0)
     cyrillic = text.rlike(r"\p{IsCyrillic}")
     female_title = title.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\b")
-    female = female_title | ((title == "") & F.get(words, F.lit(0)).isin(*LATIN_FEMALE_NAMES, *CYRILLIC_FEMALE_NAMES))
+    female = female_title | ((title == "") & F.get(words, F.lit(0)).rlike(rf"^(?:{names.pattern_of(names.FEMALE.split())})(?!\p{{L}})"))
     nth = lambda some, h, i: F.get(F.array(*map(F.lit, some)), F.conv(F.substring(h, i, F.lit(1)), 16, 10).cast("int"))
 
     def made(syllables: tuple[list[str], list[str]], h: Column) -> Column:
@@ -205,15 +210,14 @@ def name_surrogate(text: Column, key: str) -> Column:
 
     def given(word: Column) -> Column:
         h = keyed(f"{key}/given", word)
-        drawn_out = lambda names: F.concat(nth(names.begins, h, F.lit(2 * SYLLABLES + 1)), made(names.syllables, h))
-        return F.when(cyrillic & female, drawn_out(CYRILLIC_FEMALE)).when(cyrillic, drawn_out(CYRILLIC_MALE)).when(female, drawn_out(LATIN_FEMALE)).otherwise(drawn_out(LATIN_MALE))
+        drawn_out = lambda pool: F.concat(nth(pool.begins, h, F.lit(2 * SYLLABLES + 1)), made(pool.syllables, h))
+        return F.when(word.isin(*PARTICLES), word).when(cyrillic & female, drawn_out(CYRILLIC_FEMALE)).when(cyrillic, drawn_out(CYRILLIC_MALE)).when(female, drawn_out(LATIN_FEMALE)).otherwise(drawn_out(LATIN_MALE))
 
     def family(word: Column) -> Column:
         h = keyed(f"{key}/family", word)
         return F.initcap(F.when(cyrillic, made(CYRILLIC_SYLLABLES, h)).otherwise(made(LATIN_SYLLABLES, h)))
 
-    last = F.element_at(words, -1)
-    return F.concat(title, F.when(F.size(words) > 1, F.concat(given(F.get(words, F.lit(0))), F.lit(" "), family(last))).otherwise(family(last)))
+    return F.concat(title, F.array_join(F.transform(words, lambda word, i: F.when(i < F.size(words) - 1, given(word)).otherwise(family(word))), " "))
 
 
 def surrogates(entities: Column, key: str) -> Column:

@@ -289,6 +289,18 @@ def test_cards_beside_other_numbers(spark):
     assert got[12] != texts[12] and got[13] == texts[13]
 
 
+def test_names_outside_the_surrogates_and_of_many_words(spark):
+    hidden = ["John Smith", "Mary Johnson", "Hans Weber", "Maria Anna Schmidt", "Mr. John Paul Smith", "Jean-Pierre Martin", "Ludwig van Beethoven", "John F. Kennedy", "Frau Anna-Maria von der Leyen", "Mr. McDonald", "Ольга Ивановна Петрова"]
+    plain = ["Pauline and Johnson went", "the Hans of it", "Visit Berlin Today"]
+    df = spark.createDataFrame([(i, f"met {t}, who left") for i, t in enumerate(hidden + plain)], "doc_id long, text string")
+    got = [r.text.removeprefix("met ").removesuffix(", who left") for r in pii.replace_pii(df, "k").orderBy("doc_id").collect()]
+    assert got[len(hidden) :] == plain
+    for old, new in zip(hidden, got):
+        kept = {"Mr.", "Frau", "van", "von", "der"}
+        assert len(new.split()) == len(old.split()) and all((a == b) == (a in kept) for a, b in zip(old.split(), new.split()))
+    assert got[1].split()[0] in pii.LATIN_FEMALE and got[2].split()[0] in pii.LATIN_MALE and got[0].split()[1] == got[4].split()[-1]
+
+
 def test_licences():
     model = licenses.trained()
     say = lambda t: (model.classify(t) or (licenses.UNKNOWN,))[0]
