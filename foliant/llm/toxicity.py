@@ -27,14 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bound_batches, only
+from foliant.llm.common import bound_batches, only, stored
 from foliant.llm.dedup import signature
 from foliant.llm.shingles import shingle_set
 
 #: Weight of each place that a subsequence takes, and most places; letters of a unit that are compared at once.
 DECAY, STRETCH, WIDEST = 0.5, 7, 20
 #: Labelled rows for training, toxic and clean, and their longest text; landmarks; negative units in a round.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 1200, 2000, 20_000, 200, 6000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 1500, 3000, 20_000, 200, 6000
+#: Words whose margins are worked out at once; bounds the memory.
+AT_ONCE = 20_000
 #: Rounds of training on bags; steps of the solver; weight of the regulariser.
 ROUNDS, STEPS, REGULAR = 4, 12, 1e-5
 #: Classes of letters: a to z, the begin of a unit, and the rest hashed to the others; 0 is no letter.
@@ -97,9 +99,9 @@ def triples(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return i, j, k, (weight / np.sqrt((weight**2).sum())).astype(np.float32)
 
 
-def project(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """The products of the words' normed subsequence counts with the columns of weights (CLASSES ** 3 rows); of a wide
-    word's parts the greatest. Words of less than three letters have no subsequences: zeros."""
+def project(words: list[str], weights: np.ndarray, row_of: np.ndarray | None = None) -> np.ndarray:
+    """The products of the words' normed subsequence counts with the columns of weights (CLASSES ** 3 rows, or fewer, of
+    which row_of names each subsequence's); of a wide word's parts the greatest. Words of less than three letters have no subsequences: zeros."""
     one = weights.ndim == 1
     letters, whose, (begin, stop) = windows(words)
     size, out = stop - begin, np.zeros((len(words), *weights.shape[1:]), np.float32)
@@ -114,6 +116,7 @@ def project(words: list[str], weights: np.ndarray) -> np.ndarray:
             rows = some[first : first + step]
             x = letters[begin[rows][:, None] + np.arange(n)]
             code = (x[:, i] * CLASSES + x[:, j]) * CLASSES + x[:, k]
+            code = code if row_of is None else row_of[code]
             value = weights[code] @ weight if one else sum(weights[code[:, t]] * weight[t] for t in range(len(weight)))
             if n < WIDEST:
                 out[whose[rows]] = value
@@ -125,18 +128,39 @@ def project(words: list[str], weights: np.ndarray) -> np.ndarray:
     return out
 
 
-def counts_of(words: list[str]) -> np.ndarray:
-    """The normed subsequence counts of words, a column each; wide words by their first part."""
-    out = np.zeros((CLASSES**3, len(words)), np.float32)
+def entries_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The normed subsequence counts of words: subsequence, word and weight of each place; wide words by their first part."""
+    codes, of, weights = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.float32)]
     letters, whose, (begin, stop) = windows(words)
-    for w, a, b in zip(whose, begin, stop):
-        if b - a >= 3 and not out[:, w].any():
+    done: set[int] = set()
+    for w, a, b in zip(whose.tolist(), begin, stop):
+        if b - a >= 3 and w not in done:
+            done.add(w)
             i, j, k, weight = triples(int(b - a))
             x = letters[a:b]
-            np.add.at(out[:, w], (x[i] * CLASSES + x[j]) * CLASSES + x[k], weight)
+            codes, of, weights = [*codes, (x[i] * CLASSES + x[j]) * CLASSES + x[k]], [*of, np.full(len(weight), w)], [*weights, weight]
+    return np.concatenate(codes), np.concatenate(of), np.concatenate(weights)
+
+
+def counts_of(words: list[str]) -> np.ndarray:
+    """The normed subsequence counts of words, a column each."""
+    out = np.zeros((CLASSES**3, len(words)), np.float32)
+    codes, of, weights = entries_of(words)
+    np.add.at(out, (codes, of), weights)
     return out
 
 
+def used_counts(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The subsequences that words have, the rows of counts_of for these after a row of zeros, and each subsequence's row."""
+    codes, of, weights = entries_of(words)
+    used, at = np.unique(codes, return_inverse=True)
+    out = np.zeros((len(used) + 1, len(words)), np.float32)
+    np.add.at(out, (at + 1, of), weights)
+    row_of = np.zeros(CLASSES**3, np.int32)
+    row_of[used] = np.arange(1, len(used) + 1)
+    return used, out, row_of
+
+
 @dataclass
 class Machine:
     """weights: for each subsequence; bias; slope and offset: of the calibrated probability."""
@@ -147,7 +171,8 @@ class Machine:
     offset: float = 0.0
 
     def margins(self, words: list[str]) -> np.ndarray:
-        return project(words, self.weights) + np.float32(self.bias)
+        parts = [project(words[i : i + AT_ONCE], self.weights) for i in range(0, max(1, len(words)), AT_ONCE)]
+        return np.concatenate(parts) + np.float32(self.bias)
 
     def text_margins(self, texts: list[str | None]) -> np.ndarray:
         """Of each text its greatest margin; that of no subsequence at all for one without units."""
@@ -194,16 +219,32 @@ def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray
     return w
 
 
-def marked_stems(bags: list[set[str]], clean_bags: list[set[str]]) -> set[str]:
-    """The words and word stems that toxic texts have more often than chance would give to any stem of all."""
-    bad, good = (Counter(s for bag in some for s in {*bag, *(w[:n] for w in bag for n in STEMS if len(w) > n)}) for some in (bags, clean_bags))
-    share, least = len(bags) / (len(bags) + len(clean_bags)), np.log(len(bad) / ERROR)
+def marked_stems(words: list[str], bags: list[np.ndarray], clean_bags: list[np.ndarray]) -> set[str]:
+    """The words and word stems that toxic texts have more often than chance would give to any stem of all. Bags hold
+    places in words."""
+    number: dict[str, int] = {}
+    stems_of = np.zeros((len(words), len(STEMS) + 1), np.int32)  # 0: a stem that no toxic text has
+    in_toxic = np.zeros(len(words), bool)
+    for bag in bags:
+        in_toxic[bag] = True
+    for w in np.flatnonzero(in_toxic):
+        for k, s in enumerate((words[w], *(words[w][:n] for n in STEMS if len(words[w]) > n))):
+            stems_of[w, k] = number.setdefault(s, len(number) + 1)
+    for w in np.flatnonzero(~in_toxic):
+        for k, s in enumerate((words[w], *(words[w][:n] for n in STEMS if len(words[w]) > n))):
+            stems_of[w, k] = number.get(s, 0)
+    bad, good = np.zeros(len(number) + 1, np.int64), np.zeros(len(number) + 1, np.int64)
+    for counts, some in ((bad, bags), (good, clean_bags)):
+        for bag in some:
+            counts[np.unique(stems_of[bag])] += 1
+    share, least = len(bags) / (len(bags) + len(clean_bags)), np.log(len(number) / ERROR)
     out = set()
-    for stem, n in bad.items():
-        pure = n / (n + good[stem])
+    for stem, at in number.items():
+        n, clean = int(bad[at]), int(good[at])
+        pure = n / (n + clean)
         if len(stem) > 2 and pure >= PURE and n > 2:
             rest = (1 - pure) * np.log((1 - pure) / (1 - share)) if pure < 1 else 0.0
-            if (n + good[stem]) * (pure * np.log(pure / share) + rest) > least:
+            if (n + clean) * (pure * np.log(pure / share) + rest) > least:
                 out.add(stem)
     return out
 
@@ -215,16 +256,17 @@ def train(toxic: list[str], clean: list[str], seed: int = 1) -> Machine:
     all units; later ones are what the machine ranks above its border in toxic texts."""
     rng = np.random.default_rng(seed)
     toxic, clean = unlike(toxic), unlike(clean)
-    one: dict[str, str] = {}  # equal words of all bags are one object
-    bags, clean_bags = ([{one.setdefault(w, w) for w in bag} for t in some if (bag := units(t.lower()))] for some in (toxic, clean))
-    good = Counter(w for bag in clean_bags for w in bag)
-    bad = Counter(w for bag in bags for w in bag)
+    number: dict[str, int] = {}  # bags are arrays of words' numbers, which take little of the driver's memory
+    every_bag, every_clean = ([np.array([number.setdefault(w, len(number)) for w in units(t.lower())], np.int32) for t in some] for some in (toxic, clean))
+    words, bags, clean_bags = list(number), [b for b in every_bag if len(b)], [b for b in every_clean if len(b)]
+    of_bad, of_good = (np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=len(words)) for some in (bags, clean_bags))
+    bad, good = ({words[w]: int(n[w]) for w in np.flatnonzero(n)} for n in (of_bad, of_good))
     if not bags or not good:
         return Machine(np.zeros(CLASSES**3, np.float32), -1.0, 1.0, -3.0)
-    stems = marked_stems(bags, clean_bags)
+    stems = marked_stems(words, bags, clean_bags)
     chosen = sorted(w for w in bad if w not in good and (w in stems or any(w[:n] in stems for n in STEMS)))
     if not chosen:
-        chosen = [max(bad, key=lambda w: (bad[w] - good[w], w))]
+        chosen = [max(bad, key=lambda w: (bad[w] - good.get(w, 0), w))]
     first = chosen
     every, suspects = sorted(good), sorted(w for w in bad if w not in good)
     hard: list[str] = []
@@ -232,24 +274,27 @@ def train(toxic: list[str], clean: list[str], seed: int = 1) -> Machine:
         marked = sorted(chosen, key=lambda w: (-bad[w], w))
         marked = marked[: LANDMARKS // 4] + [marked[i] for i in rng.choice(len(marked), min(LANDMARKS // 4, len(marked)), replace=False)]
         usual = [every[i] for i in rng.choice(len(every), min(LANDMARKS // 4, len(every)), replace=False)]
-        land = counts_of(list(dict.fromkeys(marked + hard[: LANDMARKS // 4] + usual)))
+        used, land, row_of = used_counts(list(dict.fromkeys(marked + hard[: LANDMARKS // 4] + usual)))
         values, vectors = np.linalg.eigh(land.T @ land)
         maps = land @ (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)  # a unit's vector: its counts times this
         positive = [chosen[i] for i in rng.choice(len(chosen), min(NEGATIVES // 2, len(chosen)), replace=False)]
         often = np.array([np.log1p(bad[w]) + 1.0 for w in positive])
         negative = [every[i] for i in rng.choice(len(every), min(NEGATIVES, len(every)), replace=False)] + hard
-        x = project([*positive, *(with_letters_put_in(w, rng) for w in positive), *negative], maps).astype(np.float64)
+        x = project([*positive, *(with_letters_put_in(w, rng) for w in positive), *negative], maps, row_of).astype(np.float64)
         share = np.concatenate([often, 0.3 * often, np.ones(len(negative))])
         y = np.where(np.arange(len(x)) < 2 * len(positive), 1.0, -1.0)
         for side in (y > 0, y < 0):
             share[side] *= 0.5 / share[side].sum()
         w = squared_hinge(x, y, share)
-        machine = Machine((maps @ w[:-1]).astype(np.float32), float(w[-1]))
+        weights = np.zeros(CLASSES**3, np.float32)
+        weights[used] = (maps @ w[:-1])[1:]
+        machine = Machine(weights, float(w[-1]))
         of_suspects, of_good = machine.margins(suspects), machine.margins(every)
         border = max(0.2, float(np.quantile(of_good, 1 - 1e-4)))
         chosen = sorted({*first, *(w for w, m in zip(suspects, of_suspects) if m > border)})
         hard = [every[i] for i in np.argsort(-of_good, kind="stable")[: NEGATIVES // 3]]
-    margins = np.concatenate([machine.text_margins(toxic), machine.text_margins(clean)])
+    of_words = machine.margins(words)
+    margins = np.array([of_words[b].max() if len(b) else machine.bias for b in (*every_bag, *every_clean)], np.float64)
     machine.slope, machine.offset = calibrate(margins, np.arange(len(margins)) < len(toxic))
     return machine
 
@@ -273,13 +318,14 @@ def held_out(id_col: str) -> Column:
 
 
 def train_on(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> Machine:
-    """Train on TOXIC_ROWS and CLEAN_ROWS labelled rows at most, the first in the order of a hash of their ids; of these,
-    documents that are missing, empty or over SAMPLE_CHARS are left out. The ids are picked from the labels alone, so they are
-    few enough to broadcast, and no text is shuffled."""
+    """Train on TOXIC_ROWS and CLEAN_ROWS labelled rows at most, the first in the order of a hash of their ids among those
+    whose document is there, not empty and of SAMPLE_CHARS at most. They are picked by ids and lengths alone, and are few
+    enough to broadcast, so no text is shuffled."""
     known = only(labels, id_col, "toxic").filter(~held_out(id_col)).filter("toxic IN (0, 1)").dropDuplicates([id_col])
+    rows = only(docs, id_col, text_col).filter(F.char_length(f"`{text_col}`").between(1, SAMPLE_CHARS))
+    known = stored(known.join(only(rows, id_col), id_col, "left_semi"), "labelled")
     order = [F.xxhash64(id_col), F.col(id_col)]
     picked = [known.filter(F.col("toxic") == c).orderBy(*order).limit(n) for c, n in ((1, TOXIC_ROWS), (0, CLEAN_ROWS))]
-    rows = only(docs, id_col, text_col).filter(F.char_length(f"`{text_col}`").between(1, SAMPLE_CHARS))
     sample = rows.join(F.broadcast(picked[0].unionByName(picked[1])), id_col).dropDuplicates([id_col]).select(id_col, "toxic", text_col).collect()
     sample.sort(key=lambda r: r[0])
     return train([r[2] for r in sample if r[1] == 1], [r[2] for r in sample if r[1] == 0])

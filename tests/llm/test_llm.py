@@ -364,6 +364,19 @@ def test_toxicity_rows(spark):
     assert toxicity.score(docs, labels.limit(0)).filter("predicted = 1").count() == 0
 
 
+def test_toxicity_learns_from_rows_whose_document_qualifies(spark, monkeypatch):
+    assert (toxicity.TOXIC_ROWS, toxicity.CLEAN_ROWS) == (1500, 3000)
+    learnt = []
+    monkeypatch.setattr(toxicity, "TOXIC_ROWS", 5)
+    monkeypatch.setattr(toxicity, "CLEAN_ROWS", 7)
+    monkeypatch.setattr(toxicity, "train", lambda toxic, clean: learnt.append((toxic, clean)))
+    text = lambda i: "" if i % 3 == 0 else "x" * 20_001 if i % 3 == 1 else f"t{i}"
+    docs = spark.createDataFrame([(i, text(i)) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    toxicity.train_on(docs, labels, "doc_id", "text")
+    assert [len(x) for x in learnt[0]] == [5, 7] and all(t.startswith("t") for some in learnt[0] for t in some)
+
+
 def test_blocks_of_broken_pages():
     got = extract.blocks_of("<body><p>one<p>two &amp; <b>bold<br>x<p>t<script>var a='</p>'</script>hree<ul><li>a<li>b</ul>tail &am")
     assert [b.text for b in got] == ["one", "two & bold x", "three", "a", "b", "tail &am"]
