@@ -1,4 +1,6 @@
-"""Licence scans: sparse logistic regression over word n-grams names the licence family of each paragraph.
+"""Licence scans: sparse logistic regression over word n-grams names the licence family of each notice.
+
+A notice is a line, or lines in a row of one paragraph (up to a line without words) over which it is wrapped.
 
 The model is trained here on notices written from templates, with names, years, versions and wording varied, against
 paragraphs of plain prose, among them texts that speak of licences without granting one. A paragraph is "unknown" when the
@@ -46,15 +48,14 @@ VERSIONS = ["2.0", "3", "4.0", "1.0", "2", "3.0", "2.1", "1.1"]
 #: Words too common to tell a licence from prose; an n-gram of these alone is no feature.
 COMMON = frozenset("a an and any are as at be by for from in is it may of on or that the this to under was were which with you your not his her all about few".split())
 
-_WORD = re.compile(r"[a-z0-9]+")
-
-
-def paragraphs(text: str) -> list[str]:
-    return text.split("\n")
+#: Letters and digits apart, so that "GPLv3" has the word of "GPLv{v}".
+_WORD = re.compile(r"[a-z]+|[0-9]+")
+#: Comment marks of letters at the begin of a line; others have no words.
+_MARK = re.compile(r"^\s*(?:rem|dnl)\s")
 
 
 def words_of(paragraph: str) -> list[str]:
-    return _WORD.findall(paragraph.lower())
+    return _WORD.findall(_MARK.sub("", paragraph.lower()))
 
 
 def grams(words: list[str]) -> set[str]:
@@ -66,12 +67,14 @@ def grams(words: list[str]) -> set[str]:
 
 
 class Model:
-    """weights: n-gram by class, the last class is unknown; anchors: words without which no n-gram is known."""
+    """weights: n-gram by class, the last class is unknown; anchors: words, not numbers, without which no template is confirmed; wide: words over
+    which a notice may be wrapped, twice those of the longest template."""
 
     def __init__(self, families: list[str], index: dict[str, int], weights: np.ndarray, temperature: float):
         self.families, self.index, self.weights, self.temperature = families, index, weights, temperature
-        self.anchors = {w for g in index for w in g.split() if w not in COMMON}
+        self.anchors = {w for g in index for w in g.split() if w not in COMMON and not w.isdigit()}
         self.shapes = {f: [frozenset(w for w in words_of(t.replace("{v}", "").replace("{n}", "").replace("{y}", ""))) for t in TEMPLATES[f]] for f in families}
+        self.wide = 2 * max(len(words_of(t)) for f in families for t in TEMPLATES[f])
 
     def probabilities(self, features: set[str]) -> np.ndarray:
         rows = [self.index[g] for g in features if g in self.index]
@@ -82,17 +85,60 @@ class Model:
     def classify(self, paragraph: str) -> tuple[str, float, float] | None:
         """Family or unknown, its calibrated probability, and the best template's share of words found; None if the
         paragraph has none of the words that the model knows, so that it is unknown beyond doubt."""
-        low = paragraph.lower()
-        words = _WORD.findall(low)
+        found = self.judge(words_of(paragraph))
+        return found and found[:3]
+
+    def judge(self, words: list[str]) -> tuple[str, float, float, int] | None:
+        """As classify, of words; and the most words found of a template that is confirmed."""
         if self.anchors.isdisjoint(words):
             return None
         p = self.probabilities(grams(words))
         best = int(p[:-1].argmax())
         have = set(words)
-        match = max(len(shape & have) / len(shape) for shape in self.shapes[self.families[best]])
+        shares = [(len(shape & have) / len(shape), len(shape & have)) for shape in self.shapes[self.families[best]]]
+        match = max(shares)[0]
         if p[best] >= SURE and p[best] > p[-1] and match >= CONFIRMED:
-            return self.families[best], float(p[best]), match
-        return UNKNOWN, float(p[-1]), match
+            return self.families[best], float(p[best]), match, max(n for share, n in shares if share >= CONFIRMED)
+        return UNKNOWN, float(p[-1]), match, 0
+
+    def notices(self, text: str) -> list[tuple[int, str, float, float]]:
+        """The first line, family, probability and template's share of every notice of a text."""
+        lines = [words_of(line) for line in text.split("\n")]
+        hot = [not self.anchors.isdisjoint(words) for words in lines]
+        out, start = [], 0
+        for stop in [i for i, words in enumerate(lines) if not words] + [len(lines)]:
+            out += self.in_paragraph(lines, hot, start, stop)
+            start = stop + 1
+        return out
+
+    def in_paragraph(self, lines: list[list[str]], hot: list[bool], start: int, stop: int) -> list[tuple[int, str, float, float]]:
+        """The notices of lines start to stop. Lines in a row are a notice if a template is confirmed by them; those that
+        have most of a template's words, less one for each line, come first. A line that is a notice of its own gives way
+        only to lines that have more of a template's words, and as great a share."""
+        found = []
+        for i in filter(hot.__getitem__, range(start, stop)):
+            words: list[str] = []
+            for j in range(i, stop):
+                if j > i and len(words) >= self.wide:
+                    break
+                words = words + lines[j]
+                if hot[j] and (j == i or self.may_confirm(set(words))):
+                    got = self.judge(words)
+                    if got and got[0] != UNKNOWN:
+                        found.append((i, j, *got))
+        alone = {i: x for x in found for i in (x[0],) if x[0] == x[1]}
+        kept = [x for x in found if x[0] == x[1] or all(x[5] > y[5] and x[4] >= y[4] for k in range(x[0], x[1] + 1) if (y := alone.get(k)))]
+        kept.sort(key=lambda x: (x[1] - x[0] - x[5], x[1] - x[0], x[0]))
+        taken: set[int] = set()
+        out = []
+        for i, j, family, p, match, _ in kept:
+            if taken.isdisjoint(range(i, j + 1)):
+                taken.update(range(i, j + 1))
+                out.append((i, family, p, match))
+        return sorted(out)
+
+    def may_confirm(self, have: set[str]) -> bool:
+        return any(len(shape & have) >= CONFIRMED * len(shape) for shapes in self.shapes.values() for shape in shapes)
 
 
 def made(template: str, rng: np.random.Generator) -> str:
@@ -151,10 +197,10 @@ def trained(seed: int = 3) -> Model:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, paragraph (its number from 0), family, probability and template_match of every paragraph in which a licence
-    was found, in all whole texts; a paragraph is a line.
+    """id, paragraph (the number from 0 of the line that it begins in), family, probability and template_match of every
+    notice of a licence, on one line or wrapped over lines of a paragraph, in all whole texts.
 
-    A null or empty text has no paragraph with a licence; repeated rows give their findings again; a null id stays null.
+    A null or empty text has no notice; repeated rows give their findings again; a null id stays null.
     Ties go to the family first in order. The model is trained before and goes to the tasks; nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
@@ -164,10 +210,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             rows = []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                for at, paragraph in enumerate(paragraphs(text or "")):
-                    found = model.classify(paragraph)
-                    if found and found[0] != UNKNOWN:
-                        rows.append((i, at, found[0], round(found[1], 6), round(found[2], 6)))
+                rows += [(i, at, family, round(p, 6), round(match, 6)) for at, family, p, match in model.notices(text or "")]
             at, number, family, p, match = zip(*rows) if rows else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(number, pa.int32()), pa.array(family, pa.string()), pa.array(p, pa.float64()), pa.array(match, pa.float64())], ["id", "paragraph", "family", "probability", "template_match"])
 

@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import io
 import random
+import textwrap
 import zlib
 from collections import Counter
 
@@ -321,6 +322,38 @@ def test_licence_rows(spark):
     assert sorted((r.doc_id or 0, r.paragraph, r.family) for r in licenses.scan(df).collect()) == [(0, 0, "MIT"), (1, 1, "MIT")]
 
 
+def test_every_template_unvaried():
+    model = licenses.trained()
+    for family, some in licenses.TEMPLATES.items():
+        for t in some:
+            for v in licenses.VERSIONS:
+                notice = t.replace("{v}", v).replace("{n}", "Jane Doe").replace("{y}", "2021")
+                assert model.notices(notice)[0][:2] == (0, family), notice
+    assert model.classify("Licensed under GPLv3.")[0] == model.classify("Licensed under GPLv7.")[0] == "GPL"
+
+
+HEADERS = {
+    "GPL": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MIT": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software.',
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "Apache": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+}
+
+
+@pytest.mark.parametrize("width", [40, 60, 70, 75, 80])
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "REM "])
+def test_wrapped_headers(width, mark):
+    model = licenses.trained()
+    for family, header in HEADERS.items():
+        wrapped = textwrap.wrap(header, width)
+        lines = ["The cat sat on the mat.", "", *wrapped, "", "It rained."]
+        assert [x[:2] for x in model.notices("\n".join((mark + x).rstrip() if mark.strip() != "REM" else mark + x if x else "" for x in lines))] == [(2, family)]
+        lines = ["Released under the ISC License.", "The cat sat.", *wrapped, "It rained.", "Licensed under the MIT License."]
+        got = [x[:2] for x in model.notices("\n".join(mark + x for x in lines))]
+        assert (0, "ISC") in got and (2, family) in got
+    assert model.notices("The library was open to the\npublic free of charge and\nthe licence fee for software rose.") == []
+
+
 def test_subsequence_weights_equal_the_kernel():
     """A project()ed weight vector of a landmark is the kernel with it."""
     def kernel(a, b):
