@@ -1,7 +1,8 @@
 """The training-data pipeline: stages over the table documents, each written as Parquet and read again by the next.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the one before kept. All but the last return the
-columns of documents. Rows with a null id are never compared with others and stay where their text allows.
+columns of documents. Stages judge rows by themselves or by numbers of their own, never by the id: rows without an id,
+or that repeat one, fare as their texts do.
 """
 
 from __future__ import annotations
@@ -15,23 +16,14 @@ from foliant.llm.common import stored, table
 from foliant.llm.queries import LANGUAGES, PII_KEY
 
 
-def by_decision(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs whose id, null included, has a row in decided."""
-    ids = decided.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
-
-
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages; their column lang becomes the language found."""
-    found = langid.identify(docs, LANGUAGES).filter("kept").select(F.col("doc_id").alias("_found_id"), F.col("language").alias("_found_language")).dropDuplicates(["_found_id"])
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["_found_id"]))
-    return joined.select(*[F.col("_found_language").alias("lang") if c == "lang" else docs[c] for c in docs.columns])
+    return langid.in_languages(docs, LANGUAGES)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates; of rows that repeat an id, one."""
-    one = by_decision(docs, dedup.near_duplicates(docs).filter("kept"))
-    return one.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(one.filter("doc_id IS NULL"))
+    """One document of each group of near-duplicates, that of the smallest id."""
+    return dedup.without_copies(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,9 +22,13 @@ from foliant.llm.common import bound_batches, only, stored
 
 #: Values of trigram hashes; trigrams of a text that count as independent evidence; pseudo-counts of the smoothing.
 BUCKETS, EVIDENCE, GRAM_PRIOR, HOST_PRIOR = 4096, 60.0, 0.5, 20.0
+#: Characters of texts whose trigrams are in memory at once.
+PART_CHARS = 1 << 18
 #: Share of the class "und" before any evidence.
 UND_SHARE = 0.001
 UND = "und"
+#: Hosts whose priors are broadcast; of more, rows and priors are joined by a shuffle.
+BROADCAST_HOSTS = 200_000
 
 #: Bytes that are no letters count as spaces.
 _PLAIN = np.arange(256, dtype=np.uint32)
@@ -49,6 +53,18 @@ def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return (code[keep] * np.uint32(2654435761) >> np.uint32(20)).astype(np.int64), per_text
 
 
+def parts_of(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Where to cut a batch so that a part has PART_CHARS at most, or one longer text; bounds the memory of trigrams."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if i > start and size + len(text or "") > PART_CHARS:
+            yield start, i
+            start, size = i, 0
+        size += len(text or "")
+    if texts:
+        yield start, len(texts)
+
+
 def gram_counts(docs: DataFrame, text_col: str, declared_col: str, languages: tuple[str, ...]) -> np.ndarray:
     """Counts of each hashed trigram by declared language, over all rows; languages x BUCKETS numbers come to the driver."""
 
@@ -56,9 +72,11 @@ def gram_counts(docs: DataFrame, text_col: str, declared_col: str, languages: tu
         total = np.zeros(len(languages) * BUCKETS, np.int64)
         for batch in batches:
             at = np.array([languages.index(x) if x in languages else -1 for x in batch.column(1).to_pylist()], np.int64)
-            grams, sizes = trigrams(batch.column(0).to_pylist())
-            of = np.repeat(at, sizes)
-            total += np.bincount(of[of >= 0] * BUCKETS + grams[of >= 0], minlength=len(total))
+            texts = batch.column(0).to_pylist()
+            for i, j in parts_of(texts):
+                grams, sizes = trigrams(texts[i:j])
+                of = np.repeat(at[i:j], sizes)
+                total += np.bincount(of[of >= 0] * BUCKETS + grams[of >= 0], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
@@ -68,26 +86,38 @@ def gram_counts(docs: DataFrame, text_col: str, declared_col: str, languages: tu
     return out.reshape(len(languages), BUCKETS)
 
 
-def text_scores(docs: DataFrame, id_col: str, text_col: str, declared_col: str, host_col: str, counts: np.ndarray) -> DataFrame:
-    """doc, declared, host, grams and ll: the log likelihood of each language and of "und", as if of EVIDENCE trigrams at most."""
+def likelihoods(counts: np.ndarray):
+    """An Arrow function of a text: grams, and ll, the log likelihood of each language and of "und", as if of EVIDENCE
+    trigrams at most. Texts go to Python and do not come back."""
     model = np.log((counts + GRAM_PRIOR) / (counts + GRAM_PRIOR).sum(axis=1, keepdims=True)).astype(np.float32)
     model = np.vstack([model, np.full(BUCKETS, -np.log(BUCKETS), np.float32)])
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_part(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        grams, sizes = trigrams(texts)
+        ends = np.cumsum(sizes)
+        sums = np.empty((len(model), len(sizes)))
+        for i, row in enumerate(model):
+            running = np.concatenate([[0.0], np.cumsum(row[grams], dtype=np.float64)])
+            sums[i] = running[ends] - running[ends - sizes]
+        return sizes, (sums * np.minimum(1.0, EVIDENCE / np.maximum(sizes, 1))).T
+
+    @F.arrow_udf("grams long, ll array<double>")
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            grams, sizes = trigrams(batch.column(1).to_pylist())
-            ends = np.cumsum(sizes)
-            sums = np.empty((len(model), len(sizes)))
-            for i, row in enumerate(model):
-                running = np.concatenate([[0.0], np.cumsum(row[grams], dtype=np.float64)])
-                sums[i] = running[ends] - running[ends - sizes]
-            sums *= np.minimum(1.0, EVIDENCE / np.maximum(sizes, 1))
-            values = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, len(model), dtype=np.int32), sums.T.ravel())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sizes, pa.int64()), values], ["doc", "declared", "host", "grams", "ll"])
+            texts = batch.to_pylist()
+            sizes, sums = (np.concatenate(x) for x in zip(*([of_part(texts[i:j]) for i, j in parts_of(texts)] or [of_part([])])))
+            ll = pa.ListArray.from_arrays(np.arange(0, sums.size + 1, len(model), dtype=np.int32), sums.ravel())
+            yield pa.StructArray.from_arrays([pa.array(sizes, pa.int64()), ll], ["grams", "ll"])
+
+    return scored
 
-    rows = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"), F.col(f"`{declared_col}`").cast("string"), F.col(f"`{host_col}`").cast("string"))
-    kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(score, f"doc {kind}, declared string, host string, grams long, ll array<double>")
+
+def text_scores(docs: DataFrame, carried: list[str], text_col: str, declared_col: str, host_col: str, languages: tuple[str, ...], counts: np.ndarray) -> DataFrame:
+    """row (the carried columns of docs), declared ("" for no known language), host, grams and ll."""
+    text, declared, host = (F.col(f"`{c}`").cast("string") for c in (text_col, declared_col, host_col))
+    row = F.struct(*[F.col(f"`{c}`") for c in carried])
+    rows = docs.select(row.alias("row"), F.when(declared.isin(*languages), declared).otherwise("").alias("declared"), host_of(host).alias("host"), likelihoods(counts)(text).alias("x"))
+    return rows.select("row", "declared", "host", "x.grams", "x.ll")
 
 
 def host_of(address: Column) -> Column:
@@ -99,11 +129,49 @@ def suffix_of(host: Column) -> Column:
     return F.regexp_extract(host, r"([^.]+)$", 1)
 
 
-def softmax(scores: list[Column]) -> list[Column]:
-    top = F.greatest(*scores)
-    parts = [F.exp(s - top) for s in scores]
-    total = reduce(lambda a, b: a + b, parts)
-    return [p / total for p in parts]
+def judged(docs: DataFrame, carried: list[str], languages: tuple[str, ...], text_col: str, declared_col: str, host_col: str) -> DataFrame:
+    """row (the carried columns of docs), language, posterior and declared for every row. Three passes read the texts: one
+    counts trigrams, one what the texts say by host and declared language, one decides; none is stored or shuffled."""
+    bound_batches(docs.sparkSession)
+    classes, n = (*languages, UND), len(languages)
+    counts = gram_counts(docs, text_col, declared_col, languages)
+    scores_of = lambda some: text_scores(docs, some, text_col, declared_col, host_col, languages, counts)
+
+    def shares(ll: Column) -> Column:
+        """What a text alone says of the languages."""
+        top = F.array_max(ll)
+        return F.get(F.transform(F.array(F.transform(ll, lambda x: F.exp(x - top))), lambda e: F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))), F.lit(0))
+
+    sums = [F.sum(f"s{i}").alias(f"s{i}") for i in range(n)]
+    said = scores_of([declared_col]).filter("grams > 0").select("declared", "host", shares(F.slice("ll", 1, n)).alias("t"))
+    solid = stored(said.groupBy("declared", "host").agg(*[F.sum(F.get("t", F.lit(i))).alias(f"s{i}") for i in range(n)]).withColumn("suffix", suffix_of(F.col("host"))), "evidence")
+    whole = [x or 0.0 for x in solid.groupBy().agg(*sums).first()]
+    overall = [(x + 1.0) / (sum(whole) + n) for x in whole]
+    said = {r["declared"]: [r[f"s{i}"] for i in range(n)] for r in solid.groupBy("declared").agg(*sums).collect()}  # a row for each known language and ""
+    declared_given = {d: [float(np.log((x + 1.0) / (whole[i] + n + 1.0))) for i, x in enumerate(said.get(d) or [0.0] * n)] for d in (*languages, "")}
+
+    def smoothed(over: list[Column]) -> list[Column]:
+        """The shares of a group, drawn to those of what it is part of."""
+        all_of = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(n)])
+        return [(F.col(f"s{i}") + F.lit(HOST_PRIOR) * over[i]) / (all_of + F.lit(HOST_PRIOR)) for i in range(n)]
+
+    by_suffix = solid.groupBy("suffix").agg(*sums).select("suffix", *[x.alias(f"u{i}") for i, x in enumerate(smoothed([F.lit(x) for x in overall]))])
+    by_host = solid.groupBy("host", "suffix").agg(*sums).join(by_suffix, "suffix").select("host", F.array(*[F.log(x) for x in smoothed([F.col(f"u{i}") for i in range(n)])]).alias("h"))
+    by_host = stored(by_host, "host-priors")
+    by_host = F.broadcast(by_host) if by_host.count() <= BROADCAST_HOSTS else by_host.hint("merge")
+    numbers = lambda some: F.array(*[F.lit(float(x)) for x in some])
+    given = F.element_at(F.create_map(*[x for d, some in declared_given.items() for x in (F.lit(d), numbers([*some, np.log(UND_SHARE)]))]), F.col("declared"))
+    prior = F.concat(F.coalesce("h", numbers(np.log(overall))), numbers([-np.log(n + 1)]))
+    scores = F.zip_with(F.zip_with("ll", given, lambda a, b: a + b), prior, lambda a, b: a + b)
+
+    def decide(s: Column) -> Column:
+        top = F.array_max(s)
+        total = F.aggregate(s, F.lit(0.0), lambda a, x: a + F.exp(x - top))
+        return F.struct(F.element_at(F.array(*map(F.lit, classes)), F.array_position(s, top).cast("int")).alias("language"), F.round(1 / total, 6).alias("posterior"))
+
+    found = F.when(F.col("grams") > 0, F.get(F.transform(F.array(scores), decide), F.lit(0))).otherwise(F.struct(F.lit(UND).alias("language"), F.lit(1.0).alias("posterior")))
+    out = scores_of(carried).join(by_host, "host", "left").select("row", "declared", found.alias("found"))
+    return out.select("row", "found.language", "found.posterior", "declared")
 
 
 def identify(docs: DataFrame, languages: tuple[str, ...], id_col: str = "doc_id", text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
@@ -111,37 +179,17 @@ def identify(docs: DataFrame, languages: tuple[str, ...], id_col: str = "doc_id"
 
     A null, empty or letterless text has no language: "und", posterior 1.0 and not kept. Null or unknown declared languages
     are a value of their own, null addresses a host of their own. Repeated rows give repeated results; ties go to the
-    language named first; other columns are not read. No text is shuffled.
+    language named first; other columns are not read. Priors of hosts are broadcast if counted to be few; beyond that ids
+    and scores, never texts, are joined to them by a shuffle.
     """
-    bound_batches(docs.sparkSession)
-    classes = (*languages, UND)
-    counts = gram_counts(docs, text_col, declared_col, languages)
-    rows = text_scores(docs, id_col, text_col, declared_col, host_col, counts)
-    rows = rows.withColumns({"host": host_of(F.col("host")), "declared": F.when(F.col("declared").isin(*languages), F.col("declared")).otherwise("")})
-    flat = softmax([F.get("ll", F.lit(i)) for i in range(len(languages))])
-    rows = stored(rows.withColumn("suffix", suffix_of(F.col("host"))).withColumns({f"t{i}": p for i, p in enumerate(flat)}), "text-scores")
-    sums = [F.sum(f"t{i}").alias(f"s{i}") for i in range(len(languages))]
-    solid = rows.filter("grams > 0")
-    whole = solid.groupBy().agg(*sums).first()
-    total = sum(x or 0.0 for x in whole) + len(languages)
-    overall = [((x or 0.0) + 1.0) / total for x in whole]
-    said = {r["declared"]: [r[f"s{i}"] for i in range(len(languages))] for r in solid.groupBy("declared").agg(*sums).collect()}  # a row for each known language and ""
-
-    def declared_given(i: int) -> Column:
-        n = (whole[i] or 0.0) + len(languages) + 1.0
-        pairs = [F.lit(x) for d in (*languages, "") for x in (d, float(np.log(((said.get(d) or [0.0] * len(languages))[i] + 1.0) / n)))]
-        return F.try_element_at(F.create_map(*pairs), F.col("declared"))
-
-    prior = lambda i, sums_n, over: (F.col(f"s{i}") + F.lit(HOST_PRIOR) * over) / (sums_n + F.lit(HOST_PRIOR))
-    n_of = reduce(lambda a, b: a + b, [F.col(f"s{i}") for i in range(len(languages))])
-    by_suffix = solid.groupBy("suffix").agg(*sums).select("suffix", *[prior(i, n_of, F.lit(overall[i])).alias(f"u{i}") for i in range(len(languages))])
-    by_host = solid.groupBy("host", "suffix").agg(*sums).join(by_suffix, "suffix").select("host", *[F.log(prior(i, n_of, F.col(f"u{i}"))).alias(f"h{i}") for i in range(len(languages))])
-    joined = rows.join(by_host, "host", "left")
-    scores = [F.get("ll", F.lit(i)) + declared_given(i) + F.coalesce(f"h{i}", F.lit(float(np.log(overall[i])))) for i in range(len(languages))]
-    scores.append(F.get("ll", F.lit(len(languages))) + F.lit(float(np.log(UND_SHARE))) - F.lit(float(np.log(len(languages) + 1))))
-    out = joined.withColumns({f"p{i}": p for i, p in enumerate(softmax(scores))})
-    best = F.greatest(*[F.col(f"p{i}") for i in range(len(classes))])
-    name = F.coalesce(*[F.when(F.col(f"p{i}") == best, F.lit(c)) for i, c in enumerate(classes)])
-    none = F.col("grams") == 0
-    out = out.select(F.col("doc").alias(id_col), F.when(none, UND).otherwise(name).alias("language"), F.when(none, 1.0).otherwise(F.round(best, 6)).alias("posterior"), "declared")
-    return out.withColumn("kept", F.col("language") != UND)
+    out = judged(docs, [id_col], languages, text_col, declared_col, host_col)
+    return out.select(F.col("row").getField(id_col).alias(id_col), "language", "posterior", "declared", (F.col("language") != UND).alias("kept"))
+
+
+def in_languages(docs: DataFrame, languages: tuple[str, ...], text_col: str = "text", declared_col: str = "lang", host_col: str = "source") -> DataFrame:
+    """The rows of docs, all columns, whose text is in one of the languages; the declared language becomes the one found.
+
+    Every row is judged by itself, as identify() does: null, empty and letterless texts go, whatever the id. Only with
+    more than BROADCAST_HOSTS hosts rows are shuffled, by host, where Spark splits a hot one."""
+    kept = judged(docs, docs.columns, languages, text_col, declared_col, host_col).filter(F.col("language") != UND)
+    return kept.select(*[F.col("language").alias(c) if c == declared_col else F.col("row").getField(c).alias(c) for c in docs.columns])
