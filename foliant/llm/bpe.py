@@ -10,17 +10,21 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql import functions as F
 
 from foliant.llm.common import bound_batches, only
 
-#: Words whose encodings one worker keeps; beyond it, those of the present batch stay and the others go.
+#: Words whose encodings are kept, besides those of a batch; the longest unused half goes first.
 KEPT_WORDS = 600_000
+#: Pairs of tokens of which a worker keeps whether they are valid; beyond it all go.
+KEPT_PAIRS = 400_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -79,17 +83,17 @@ class PrefixTable:
 
     def _fill(self, first: int, final: int) -> None:
         """Try the tokens that end at each place; exactly one fits the last token before it."""
-        data, last, sound, ends, pairs = self.data, self.last, self.codec.sound, self.codec.ends, self.codec.pairs
+        data, last, endings, pairs, shift = self.data, self.last, self.codec.endings.get, self.codec.pairs, self.codec.shift
         for i in range(first, final + 1):
             j, found = i - 1, []
-            while j >= 0 and (part := data[j:i]) in ends:
-                if (token := sound.get(part)) is not None:
+            while j >= 0 and (token := endings(data[j:i])) is not None:
+                if token >= 0:
                     found.append((j, token))
                 j -= 1
             for j, token in reversed(found):
                 if not j:
                     break
-                valid = pairs.get(key := last[j] << 32 | token)
+                valid = pairs.get(key := last[j] << shift | token)
                 if valid is None:
                     valid = pairs[key] = self.codec.pair_valid(last[j], token)
                 if valid:
@@ -126,7 +130,9 @@ class BpeCodec:
                 self.sound[token] = rank
                 self.halves[rank] = a, b = ranks[last[0]], ranks[last[1]]
                 self.joined[a, b] = rank
-        self.ends = {t[i:] for t in self.sound for i in range(len(t))}
+        # every end of a token, with the token that it is itself, or -1
+        self.endings = {t[i:]: -1 for t in self.sound for i in range(1, len(t))} | self.sound
+        self.shift = max(ranks.values()).bit_length()
         self.pairs: dict[int, bool] = {}
 
     def pair_valid(self, a: int, b: int) -> bool:
@@ -136,7 +142,7 @@ class BpeCodec:
         would have been made instead, so there must be none.
         """
         halves, joined, before = self.halves, self.joined, 1 << 62
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > KEPT_PAIRS:
             self.pairs.clear()
         while True:
             across = joined.get((a, b))
@@ -185,26 +191,53 @@ class WordMemory:
     """
 
     def __init__(self, codec: BpeCodec):
-        self.codec, self.words = codec, {}
-
-    def lines(self, texts: list[str]) -> list[str]:
-        """The ids of each text, as decimal numbers between single spaces."""
-        split, find = [text.split(" ") for text in texts], self.codec.pattern.findall
-        seen = {w for words in split for w in words[1:]}
-        if len(self.words) > KEPT_WORDS:
-            self.words = {w: self.words[w] for w in seen.intersection(self.words)}
-        apart = {w: None if not w or w[0].isspace() or w[-1].isspace() else find(" " + w) for w in seen.difference(self.words)}
+        self.codec, self.words, self.before = codec, {}, {}
+
+    def kept(self, ids: list[int]):
+        """What is kept of the ids of a piece; whole() joins what is kept of pieces in a row."""
+        return array("i", ids)
+
+    def whole(self, parts: list):
+        return array("i", b"".join(parts))
+
+    def texts(self, texts: list[str]) -> list:
+        """Of each text what is kept of its pieces, joined."""
+        split, find, joined = [text.split(" ") for text in texts], self.codec.pattern.findall, self.whole
+        known, before = self.words, self.before
+        new = {w for words in split for w in words[1:]}.difference(known)
+        for w in new.intersection(before):
+            known[w] = before[w]
+        apart = {w: None if not w or w[0].isspace() or w[-1].isspace() else find(" " + w) for w in new.difference(before)}
         odd = {w for w, pieces in apart.items() if pieces is None}
         heads = [None if not (h := words[0]) or h[-1].isspace() or not odd.isdisjoint(words[1:]) else find(h) for words in split]
         whole = [find(text) if head is None else None for head, text in zip(heads, texts)]
         table, made = PrefixTable(self.codec), {}
         for piece in sorted({p for some in (apart.values(), heads, whole) for pieces in some if pieces for p in pieces}):
-            made[piece] = " ".join(map(str, self.codec.encode_piece(piece.encode(), table)))
-        known = self.words
+            made[piece] = self.kept(self.codec.encode_piece(piece.encode(), table))
         for word, pieces in apart.items():
             if pieces is not None:
-                known[word] = " ".join([made[p] for p in pieces])
-        return [" ".join([made[p] for p in every]) if every is not None else " ".join([*[made[p] for p in head], *map(known.__getitem__, words[1:])]) for every, head, words in zip(whole, heads, split)]
+                known[word] = made[pieces[0]] if len(pieces) == 1 else joined([made[p] for p in pieces])
+        out = [joined([made[p] for p in every]) if every is not None else joined([*[made[p] for p in head], *map(known.__getitem__, words[1:])]) for every, head, words in zip(whole, heads, split)]
+        if len(known) > KEPT_WORDS // 2:
+            self.words, self.before = {}, known
+        return out
+
+
+class LineMemory(WordMemory):
+    """As WordMemory, but ids as decimal numbers between single spaces."""
+
+    def __init__(self, codec: BpeCodec):
+        super().__init__(codec)
+        self.bytes_of = {str(i): t for i, t in codec.bytes_of.items()}
+
+    def kept(self, ids: list[int]) -> str:
+        return " ".join(map(str, ids))
+
+    def whole(self, parts: list[str]) -> str:
+        return " ".join(parts)
+
+    def decode(self, ids: list[str]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 @functools.cache
@@ -213,9 +246,9 @@ def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
 
 
 @functools.cache
-def memory_of(ranks_path: str, pattern: str) -> WordMemory:
+def lines_of(ranks_path: str, pattern: str) -> LineMemory:
     """One memory for all tasks that a worker process runs."""
-    return WordMemory(codec_of(ranks_path, pattern))
+    return LineMemory(codec_of(ranks_path, pattern))
 
 
 def digest_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -227,17 +260,15 @@ def digest_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "d
     bound_batches(docs.sparkSession)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(ranks_path, pattern)
-        words = memory_of(ranks_path, pattern)
+        words = lines_of(ranks_path, pattern)
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for line in words.lines([text or "" for text in batch.column(1).to_pylist()]):
-                ids = list(map(int, line.split()))
+            for line in words.texts([text or "" for text in batch.column(1).to_pylist()]):
+                ids = line.split()
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(line.encode()).hexdigest())
-                decoded.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                decoded.append(hashlib.sha256(words.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
     kind = docs.schema[id_col].dataType.simpleString()
     out = only(docs, id_col, text_col).mapInArrow(digest, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)
@@ -247,15 +278,12 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     """All rows and columns of docs, and the ids of the text in out_col (an empty array for a null text), in place of a
     column that has this name. Repeated rows stay; no rows give no rows."""
     bound_batches(docs.sparkSession)
-    docs = docs.drop(out_col)
-    names = docs.columns
-    at = names.index(text_col)
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = memory_of(ranks_path, pattern)
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = WordMemory(codec_of(ranks_path, pattern))
         for batch in batches:
-            rows = [list(map(int, line.split())) for line in words.lines([text or "" for text in batch.column(at).to_pylist()])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int32()))], [*names, out_col])
-
-    schema = StructType([*docs.schema.fields, StructField(out_col, ArrayType(IntegerType()))])
-    return docs.mapInArrow(encode, schema)
+            rows = words.texts([text or "" for text in batch.to_pylist()])
+            starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+            yield pa.ListArray.from_arrays(starts, np.frombuffer(b"".join(rows), np.int32))
+        words.codec.pairs.clear()  # the worker lives on, for other stages
+    return docs.drop(out_col).withColumn(out_col, encode(F.col(f"`{text_col}`").cast("string")))
