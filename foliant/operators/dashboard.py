@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 TERMINAL = ("COMPLETED", "FAILED", "CANCELED")
 # Percent that a status stands for, on lists of documents and in the parser's own view.
-DISPLAY_PROGRESS = {"UPLOADED": 0, "QUEUED": 0, "PROCESSING": 10, "COMPLETED": 100, "FAILED": 100, "CANCELED": 100}
+DISPLAY_PROGRESS = {"UPLOADED": 0, "QUEUED": 0, "PROCESSING": 5, "PREPROCESSING": 10, "GPU_WAITING": 20, "GPU_PROCESSING": 25, "POSTPROCESSING": 90, "COMPLETED": 100, "FAILED": 100, "CANCELED": 100}
 PARSER_PROGRESS = {"QUEUED": 0, "PROCESSING": 50, "COMPLETED": 100, "FAILED": 0, "CANCELED": 0}
 
 
@@ -31,27 +31,30 @@ def recent_documents(docs: DataFrame, limit: int = 10) -> DataFrame:
     return docs.withColumn("last_at", at).orderBy(F.desc("last_at"), F.desc("document_id")).limit(limit).select("document_id", "last_at", "status")
 
 
-def progress_of(stored: Column, status: Column, by_status: dict[str, int]) -> Column:
-    """The stored progress as a whole percent from 0 to 100; without one, that of the status."""
-    fallback = F.try_element_at(F.create_map(*[F.lit(x) for pair in by_status.items() for x in pair]), F.coalesce(status, F.lit("")))
-    return F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(stored.cast("int"), fallback, F.lit(0))))
+def progress_of(docs_status: Column, by_status: dict[str, int], percent: Column, done: Column, pages: Column) -> Column:
+    """A whole percent from 0 to 100: of pages that are done; without pages the stored percent; without that, what the status
+    stands for (no status counts as uploaded)."""
+    known = F.create_map(*[F.lit(x) for pair in by_status.items() for x in pair])
+    by_pages = F.when((pages > 0) & done.isNotNull(), F.try_divide(done * 100, pages).cast("int"))
+    return F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(by_pages, percent.cast("int"), F.try_element_at(known, F.coalesce(docs_status, F.lit("UPLOADED"))), F.lit(0))))
 
 
 def for_display(docs: DataFrame, by_status: dict[str, int] = DISPLAY_PROGRESS) -> DataFrame:
-    """Id, name, type in lower case and progress, as the lists show them."""
-    return docs.select("document_id", F.coalesce("file_name", F.concat(F.lit("document-"), F.col("document_id").cast("string"))).alias("file_name"), F.coalesce(F.nullif(F.lower("file_type"), F.lit("")), F.lit("unknown")).alias("file_type"), progress_of(F.least(F.col("progress") / 10 - 100, F.lit(130)), F.col("status"), by_status).alias("progress"))
+    """Id, name, type and progress as the lists show them. docs: document_id, file_name, file_type, source_name, source_type,
+    status, percent, pages_done and pages. A source's name, and its type or suffix, take the place of the file's."""
+    from foliant.operators.text import suffix
+
+    sourced = F.coalesce(F.col("source_name") != "", F.lit(False))
+    known = lambda c: F.nullif(c, F.lit(""))
+    kind = F.coalesce(known(F.col("source_type")), known(F.replace(suffix(F.col("source_name")), F.lit("."), F.lit(""))), F.col("file_type"))
+    return docs.select("document_id", F.when(sourced, F.col("source_name")).otherwise(F.col("file_name")).alias("file_name"), F.when(sourced, kind).otherwise(F.col("file_type")).alias("file_type"), progress_of(F.col("status"), by_status, F.col("percent"), F.col("pages_done"), F.col("pages")).alias("progress"))
 
 
 def success_rate(docs: DataFrame) -> DataFrame:
     """Share of completed documents in percent to one decimal, and the counts; slices of none are left out."""
-    total = F.sum("n").over(_all())
-    return docs.filter(F.col("status").isNotNull()).groupBy("status").agg(F.count("*").alias("n")).withColumn("percent", F.round(F.col("n") * 100.0 / total, 1)).filter("n > 0")
-
-
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0))
+    counts = docs.filter(F.col("status").isNotNull()).groupBy("status").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("all"))  # one row
+    return counts.join(F.broadcast(total)).select("status", "n", F.round(F.col("n") * 100.0 / F.col("all"), 1).alias("percent")).filter("n > 0")
 
 
 def daily_trend(rows: DataFrame, at: str, last_day: str, days: int = 7) -> DataFrame:

@@ -111,14 +111,3 @@ def monotone(events: DataFrame, key: str, order: list[str], value: str, reset: C
     epoch = F.sum(F.when(reset, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     rows = events.withColumn("epoch", epoch)
     return rows.withColumn("progress", F.max(value).over(Window.partitionBy(key, "epoch").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-
-
-def final_states(events: DataFrame) -> DataFrame:
-    """The state of each item after all its events: the first terminal event wins, later completions are dropped; retries
-    before it count."""
-    w = Window.partitionBy("item_id").orderBy("created_at", "event_id")
-    terminal = F.col("event_type").isin("COMPLETED", "FAILED", "CANCELED")
-    ended = F.sum(F.when(terminal, 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    live = events.withColumn("ended", F.coalesce(ended, F.lit(0)))
-    state = F.coalesce(F.max(F.when((F.col("ended") == 0) & terminal, F.col("event_type"))), F.lit("PROCESSING"))
-    return live.groupBy("item_id").agg(state.alias("status"), F.count_if((F.col("ended") == 0) & (F.col("event_type") == "RETRY_REQUESTED")).alias("retries"), F.count_if(F.col("ended") > 0).alias("late"))

@@ -77,3 +77,37 @@ def chains(tables: DataFrame, doc: str, page: str, height: float, least: int = 7
     goes_on = (F.col(page) == page_before + 1) & (continuation_score(before, this, height) >= least)
     rows = tables.withColumn("begins", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     return rows.withColumn("chain", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def covered_images(images: DataFrame, regions: DataFrame, page: str, element: str, share: float = 0.85, factor: float = 1.3) -> DataFrame:
+    """Regions that hold most of an image and are larger by the factor, so that they are no regions of their own, and the
+    first such image of each."""
+    other = regions.select(page, F.col(element).alias("region"), *[F.col(s).alias(f"o_{s}") for s in SIDES])
+    hit = (area(box()) > 0) & (overlap(box(), box("o_")) >= share * area(box())) & (area(box("o_")) > factor * area(box()))
+    return images.join(other, page).filter(hit).groupBy(page, "region").agg(F.min(element).alias("image"))
+
+
+def image_cells(images: DataFrame, cells: DataFrame, tables: DataFrame, page: str, element: str, tolerance: float = 6.0, share: float = 0.70) -> DataFrame:
+    """The first cell that holds an image's centre and most of it, for images within a table."""
+    frames = tables.select(page, *[F.col(s).alias(f"t_{s}") for s in SIDES])
+    within = images.join(frames, page).filter(contains(box("t_"), box(), tolerance)).select(page, element, *SIDES).distinct()
+    other = cells.select(page, F.col(element).alias("cell"), *[F.col(s).alias(f"o_{s}") for s in SIDES])
+    a, b = box(), box("o_")
+    centre = ((a[0] + a[2]) / 2).between(b[0], b[2]) & ((a[1] + a[3]) / 2).between(b[1], b[3])
+    return within.join(other, page).filter(centre & (overlap_share(a, b) >= share)).groupBy(page, element).agg(F.min("cell").alias("cell"))
+
+
+def rows_of(spans: DataFrame, page: str, y: str, order: list[str], tolerance: float = 3.0) -> DataFrame:
+    """The number of the visual row of each span: in order of y a new row begins after a gap over the tolerance."""
+    w = Window.partitionBy(page).orderBy(y, *order)
+    gap = F.col(y) - F.lag(y).over(w) > tolerance
+    begins = spans.withColumn("begins", F.when(F.coalesce(gap, F.lit(True)), 1).otherwise(0))
+    return begins.withColumn("line", F.sum("begins").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("begins")
+
+
+def needs_full_page(pages: DataFrame, least_text: int = 200, most_share: float = 0.7) -> DataFrame:
+    """Pages that are read as one image: little text, and no image or only images of a part of the page. Pages merged into a
+    table before, with a table read as text, or with images in cells beside native tables, are not."""
+    exempt = F.col("merged") | (F.col("text_tables") > 0) | ((F.col("cell_images") > 0) & (F.col("native_tables") > 0))
+    partial = (F.col("images") == 0) | (F.col("image_area") < F.col("page_area") * most_share)
+    return pages.withColumn("full_page", ~exempt & (F.col("text_length") < least_text) & partial)

@@ -89,37 +89,39 @@ def has_content(text: Column) -> Column:
     return ~F.lower(F.btrim(text)).isin(*NOTHING)
 
 
-def pack(text: str, size: int = 500, overlap: int = 50) -> list[str]:
-    """Chunks of whole paragraphs of size characters at most; longer paragraphs are packed by words, and what is left of
-    one takes in the paragraphs that follow. Each chunk but the first begins with the end of the plain one before."""
-    made, now = [], ""
-    for paragraph in filter(None, map(str.strip, text.split("\n\n"))):
-        if len(now) + len(paragraph) + 2 <= size:
-            now = f"{now}\n\n{paragraph}" if now else paragraph
-            continue
-        if now:
-            made.append(now)
-        now = paragraph
-        if len(paragraph) > size:
-            now = ""
-            for word in paragraph.split():
-                if len(now) + len(word) + 1 <= size:
-                    now = f"{now} {word}" if now else word
-                else:
-                    if now:
-                        made.append(now)
-                    now = word
-    if now:
-        made.append(now)
-    return [f"{made[i - 1][-overlap:]}\n\n{c}" if i and overlap else c for i, c in enumerate(made)]
-
-
 def chunks(text: Column, size: int = 500, overlap: int = 50) -> Column:
-    @pandas_udf("array<string>")
-    def packed(texts: pd.Series) -> pd.Series:
-        return texts.fillna("").map(lambda t: pack(t, size, overlap))
-
-    return packed(text)
+    """Chunks of a text as an array: its units joined while they fit into size, each chunk after the first led by the last
+    overlap characters of the one before.
+
+    Units are the trimmed paragraphs; one that is longer than size gives its words instead, joined by spaces, and what
+    follows its last word is joined as paragraphs are. Two folds in the JVM: one lays out where chunks begin, one is the
+    lead-in. A null text is an empty one and gives no chunks."""
+    paragraphs = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n\n"), one_trim), lambda p: p != "")
+    unit = lambda value, inner, fresh: F.struct(value.alias("text"), inner.alias("inner"), fresh.alias("fresh"))
+    words = lambda p: F.transform(F.filter(F.split(p, r"(?U)\s+"), lambda w: w != ""), lambda w, i: unit(w, i > 0, i == 0))
+    units = F.flatten(F.transform(paragraphs, lambda p: F.when(F.length(p) > size, words(p)).otherwise(F.array(unit(p, F.lit(False), F.lit(False))))))
+
+    def joined(state: Column, u: Column) -> Column:
+        """A word after a word takes a space, anything else a blank line; the first word of a long paragraph begins anew, and
+        so does what does not fit."""
+        now = state["now"]
+        gap = F.when(u["inner"], F.lit(" ")).otherwise(F.lit("\n\n"))
+        room = F.length(now) + F.length(u["text"]) + F.length(gap) <= size
+        together = (now != "") & room & ~u["fresh"]
+        closed = F.when((now == "") | together, state["done"]).otherwise(F.concat(state["done"], F.array(now)))
+        return F.struct(closed.alias("done"), F.when(together, F.concat(now, gap, u["text"])).otherwise(u["text"]).alias("now"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    plain_chunks = F.aggregate(units, start, joined, lambda s: F.when(s["now"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["now"]))))
+    if not overlap:
+        return plain_chunks
+    lead = lambda every: F.transform(every, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.right(F.get(every, i - 1), F.lit(overlap)), F.lit("\n\n"), c)))
+    return F.get(F.transform(F.array(plain_chunks), lead), F.lit(0))
+
+
+def one_trim(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 @pandas_udf(DoubleType())
@@ -129,9 +131,11 @@ def nid(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _nid(a: str, b: str) -> float:
-    """By the longest common subsequence, a bit for each character of a (Hyyrö 2004)."""
-    if not a and not b:
-        return 1.0
+    return 2 * common_subsequence(a, b) / (len(a) + len(b)) if a or b else 1.0
+
+
+def common_subsequence(a: str, b: str) -> int:
+    """The length of the longest common subsequence, a bit for each character of a (Hyyrö 2004)."""
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -140,8 +144,7 @@ def _nid(a: str, b: str) -> float:
     for c in b:
         found = row & masks.get(c, 0)
         row = (row + found | row - found) & full
-    common = len(a) - row.bit_count()
-    return 2 * common / (len(a) + len(b))
+    return len(a) - row.bit_count()
 
 
 @pandas_udf(DoubleType())

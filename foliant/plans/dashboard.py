@@ -23,19 +23,29 @@ def srt_documents(spark, sf_dir):
     return d.recent_documents(records(spark, sf_dir, "doc_records"), 10_000)
 
 
+SHOWN = """SELECT document_id, file_name, file_type, CASE WHEN document_id % 3 = 0 THEN file_name || '.V2.PDF' WHEN document_id % 3 = 1 THEN '' END AS source_name, CASE WHEN document_id % 2 = 0 THEN 'hwp' END AS source_type,
+    CASE WHEN document_id % 11 = 0 THEN 'GPU_WAITING' WHEN document_id % 13 = 0 THEN 'PREPROCESSING' ELSE status END AS status, CAST(progress / 10 - 100 AS INTEGER) AS percent, updated_at % 60 AS pages_done, CASE WHEN document_id % 5 = 0 THEN uploaded_at % 50 END AS pages FROM doc_records"""
+
+
+def _shown(spark, sf_dir):
+    records(spark, sf_dir, "doc_records").createOrReplaceTempView("doc_records_shown")
+    return spark.sql(SHOWN.replace("FROM doc_records", "FROM doc_records_shown").replace("CAST(progress / 10 - 100 AS INTEGER)", "CAST(round(progress / 10 - 100) AS INTEGER)"))
+
+
 def _display(states: dict[str, int]) -> str:
     cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in states.items())
-    return with_records(f"SELECT document_id, coalesce(file_name, 'document-' || document_id) AS file_name, coalesce(nullif(lower(file_type), ''), 'unknown') AS file_type, least(100, greatest(0, coalesce(CAST(trunc(least(progress / 10 - 100, 130)) AS INTEGER), CASE status {cases} END, 0))) AS progress FROM doc_records", "doc_records")
+    kind = "CASE WHEN source_name <> '' THEN coalesce(source_type, 'pdf') ELSE file_type END"
+    return with_records(f"SELECT document_id, CASE WHEN source_name <> '' THEN source_name ELSE file_name END AS file_name, {kind} AS file_type, least(100, greatest(0, coalesce(CASE WHEN pages > 0 THEN CAST(trunc(pages_done * 100.0 / pages) AS INTEGER) END, percent, CASE coalesce(status, 'UPLOADED') {cases} END, 0))) AS progress FROM ({SHOWN})", "doc_records")
 
 
 @query(_display(d.DISPLAY_PROGRESS))
 def prj_doc_display(spark, sf_dir):
-    return d.for_display(records(spark, sf_dir, "doc_records"))
+    return d.for_display(_shown(spark, sf_dir))
 
 
 @query(_display(d.PARSER_PROGRESS))
 def prj_doc_progress(spark, sf_dir):
-    return d.for_display(records(spark, sf_dir, "doc_records"), d.PARSER_PROGRESS)
+    return d.for_display(_shown(spark, sf_dir), d.PARSER_PROGRESS)
 
 
 @query(with_records("SELECT status, n, round(n * 100.0 / sum(n) OVER (), 1) AS percent FROM (SELECT status, count(*) AS n FROM doc_records WHERE status IS NOT NULL GROUP BY 1)", "doc_records"))

@@ -12,69 +12,6 @@ from foliant.plans.layout import SCORE, _boxes, boxed
 from foliant.registry import query
 
 
-@query(with_records("SELECT item_id, coalesce(string_agg(note, '; ' ORDER BY note), '') AS notes FROM (SELECT i.item_id, n.error_message AS note FROM (SELECT item_id, job_id, min(retry_count) AS lo FROM item_records WHERE job_id < 500 GROUP BY 1, 2) i LEFT JOIN (SELECT DISTINCT job_id, retry_count, error_message FROM item_records WHERE error_message IS NOT NULL) n ON n.job_id = i.job_id AND n.retry_count BETWEEN i.lo AND i.lo + 1) GROUP BY 1", "item_records"))
-def jn_cell_notes(spark, sf_dir):
-    """Notes put into the cells whose span covers their row, in order."""
-    items = records(spark, sf_dir, "item_records")
-    cells = items.filter("job_id < 500").groupBy("item_id", "job_id").agg(F.min("retry_count").alias("lo"))
-    notes = items.filter("error_message IS NOT NULL AND job_id < 500").select("job_id", "retry_count", F.col("error_message").alias("note")).distinct()
-    hit = cells.join(notes, "job_id").filter(F.col("retry_count").between(F.col("lo"), F.col("lo") + 1)).groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("note")), "; ").alias("notes"))
-    return cells.select("item_id").distinct().join(hit, "item_id", "left").select("item_id", F.coalesce("notes", F.lit("")).alias("notes"))
-
-
-@query("SELECT page_id, len(regexp_extract_all(html, '<p>[^<]*</p>')) AS sections, coalesce(list_first(regexp_extract_all(html, '<h1>([^<]*)</h1>', 1)), '') AS preview FROM pages")
-def fn_markers(spark, sf_dir):
-    """Marked sections of a text: how many, and the first heading as a preview."""
-    return table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<p>[^<]*</p>"), F.lit(0))).cast("long").alias("sections"), F.coalesce(F.get(F.regexp_extract_all("html", F.lit("<h1>([^<]*)</h1>"), F.lit(1)), F.lit(0)), F.lit("")).alias("preview"))
-
-
-@query("SELECT user_id, count(DISTINCT event_type) AS nodes, count(DISTINCT edge) AS edges FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) || '>' || event_type AS edge FROM events) GROUP BY 1")
-def fn_flow_parse(spark, sf_dir):
-    """Nodes and edges of the flow that a sequence of steps draws."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("event_id"))
-    rows = table(spark, sf_dir, "events").select("user_id", "event_type", F.concat(before, F.lit(">"), "event_type").alias("edge"))
-    return rows.groupBy("user_id").agg(F.countDistinct("event_type").alias("nodes"), F.countDistinct("edge").alias("edges"))
-
-
-def markdown_grid(text: str) -> tuple[int, int]:
-    """Rows, the ruler aside, and columns of a Markdown table; escaped bars are text."""
-    rows = [re.split(r"(?<!\\)\|", line.strip().strip("|")) for line in text.splitlines() if "|" in line]
-    rows = [r for r in rows if not all(re.fullmatch(r"\s*:?-+:?\s*", c) for c in r)]
-    return len(rows), max(map(len, rows), default=0)
-
-
-@query("SELECT l_orderkey AS id, count(*) + 1 AS rows, 3 AS cols FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1")
-def tb_analyze_md(spark, sf_dir):
-    from foliant.plans.tables import _tables
-
-    made = _tables(spark, sf_dir).select("id", tb.udf_of(tb.to_markdown, "string")("truth").alias("m"))
-    return made.select("id", tb.udf_of(lambda m: markdown_grid(m)[0], "long")("m").alias("rows"), tb.udf_of(lambda m: markdown_grid(m)[1], "int")("m").alias("cols"))
-
-
-@query()
-def tb_teds_s(spark, sf_dir):
-    from foliant.plans.tables import _similar_structure, _tables
-
-    return _tables(spark, sf_dir).select("id", tb.udf_of(_similar_structure, "double")("predicted", "truth").alias("teds_s"))
-
-
-@query("SELECT count(*) AS total, count(*) FILTER (k > 0) AS valid, 0 AS invalid FROM (SELECT l_orderkey, count(*) AS k FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1)")
-def agg_grid_validation(spark, sf_dir):
-    from foliant.plans.tables import _tables
-
-    bad = tb.udf_of(lambda h: len(tb.grid_of(h).problems), "int")("predicted")
-    rows = _tables(spark, sf_dir).select(bad.alias("bad"))
-    return rows.agg(F.count("*").alias("total"), F.count_if(F.col("bad") == 0).alias("valid"), F.count_if(F.col("bad") > 0).cast("int").alias("invalid"))
-
-
-@query("SELECT count(*) AS files, count(*) FILTER (n = 1) AS passed, count(*) FILTER (n = 1) * 1.0::DOUBLE / count(*) AS rate FROM (SELECT o_orderkey, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber % 3 = 1 GROUP BY 1)")
-def agg_multipage_eval(spark, sf_dir):
-    """Files with exactly one candidate."""
-    some = table(spark, sf_dir, "lineitem").filter("l_linenumber % 3 = 1").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "orders").select("o_orderkey").join(some, "o_orderkey", "left")
-    return rows.agg(F.count("*").alias("files"), F.count_if(F.col("n") == 1).alias("passed"), (F.count_if(F.coalesce(F.col("n") == 1, F.lit(False))) / F.count("*")).alias("rate"))
-
-
 @query(boxed(f"SELECT page, element, {SCORE} AS score FROM (SELECT *, lag(x0) OVER w AS p_x0, lag(x1) OVER w AS p_x1, lag(y1) OVER w AS p_y1, lag(cols) OVER w AS p_cols, lag(header) OVER w AS p_header, lag(element) OVER w AS p_element FROM (SELECT page, element, x0, y0, x1, y1, element % 2 AS cols, CASE WHEN kind <> 'N' THEN kind END AS header FROM boxes QUALIFY count(*) OVER (PARTITION BY page, element) = 1) WINDOW w AS (PARTITION BY page ORDER BY element)) WHERE p_element IS NOT NULL"))
 def ma_cont_score(spark, sf_dir):
     """How much each table looks like the rest of the one before."""
@@ -85,12 +22,6 @@ def ma_cont_score(spark, sf_dir):
     return rows.select("page", "element", lo.continuation_score(F.col("before"), F.col("this"), 800.0).alias("score"))
 
 
-@query("SELECT doc_id, CAST(n_chars AS BIGINT) * CAST(0.4 AS DOUBLE) AS tokens FROM documents")
-def ma_cost(spark, sf_dir):
-    """Tokens that a text's characters are estimated at, which its cost is in proportion to."""
-    return table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * F.lit(0.4)).alias("tokens"))
-
-
 @query("SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity = trunc(l_quantity) THEN CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) ELSE CAST(l_quantity AS VARCHAR) END AS shown, CASE WHEN l_returnflag = 'A' THEN 'TRUE' ELSE 'FALSE' END AS truth, strftime(l_shipdate, '%Y-%m-%d %H:%M:%S') AS at FROM lineitem")
 def fn_cell_str(spark, sf_dir):
     """Typed cells as texts: whole numbers without a point, truth values, dates."""
@@ -121,8 +52,18 @@ def st_ack(spark, sf_dir):
     return twice.groupBy("item_id").agg(F.max("value").alias("progress"), F.count("*").alias("acknowledged"))
 
 
-@query(with_records("SELECT item_id, event_id, least(100, CAST(trunc(max(value) OVER (PARTITION BY item_id ORDER BY created_at, event_id ROWS UNBOUNDED PRECEDING)) AS INTEGER)) AS percent FROM event_records WHERE item_id IS NOT NULL", "event_records"))
-def st_progress(spark, sf_dir):
-    """Progress of an item after each event, in whole percents that never fall."""
-    w = Window.partitionBy("item_id").orderBy("created_at", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return records(spark, sf_dir, "event_records").filter("item_id IS NOT NULL").select("item_id", "event_id", F.least(F.lit(100), F.max("value").over(w).cast("int")).alias("percent"))
+@query(with_records("""SELECT item_id, coalesce(string_agg(note, '; ' ORDER BY note), '') AS notes FROM (SELECT i.item_id, n.error_message AS note FROM (SELECT item_id, job_id, min(retry_count) AS lo FROM item_records GROUP BY 1, 2) i
+    LEFT JOIN (SELECT DISTINCT job_id, retry_count, error_message FROM item_records WHERE error_message IS NOT NULL) n ON n.job_id = i.job_id AND n.retry_count BETWEEN i.lo AND i.lo + 1) GROUP BY 1""", "item_records"))
+def jn_cell_notes(spark, sf_dir):
+    """Notes put into the cells whose span covers their row, in order."""
+    items = records(spark, sf_dir, "item_records")
+    cells = items.groupBy("item_id", "job_id").agg(F.min("retry_count").alias("lo"))
+    notes = items.filter("error_message IS NOT NULL").select("job_id", "retry_count", F.col("error_message").alias("note")).distinct()
+    hit = cells.join(notes, "job_id").filter(F.col("retry_count").between(F.col("lo"), F.col("lo") + 1)).groupBy("item_id").agg(F.array_join(F.array_sort(F.collect_list("note")), "; ").alias("notes"))
+    return cells.select("item_id").distinct().join(hit, "item_id", "left").select("item_id", F.coalesce("notes", F.lit("")).alias("notes"))
+
+
+@query(with_records("SELECT item_id, document_id % 10 AS page, item_id % 7 AS image FROM item_records ORDER BY page, image, item_id", "item_records"))
+def srt_infer(spark, sf_dir):
+    """Tasks by page and image."""
+    return records(spark, sf_dir, "item_records").select("item_id", (F.col("document_id") % 10).alias("page"), (F.col("item_id") % 7).alias("image")).orderBy("page", "image", "item_id")

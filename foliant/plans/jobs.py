@@ -59,11 +59,6 @@ CLAIM = counted("""SELECT w.job_id, w.item_id, w.place FROM (SELECT job_id, item
     JOIN job_records j ON j.job_id = w.job_id JOIN c ON c.job_id = w.job_id WHERE NOT j.cancel_requested AND place <= parallelism - processing""", "job_records")
 
 
-@query(CLAIM)
-def st_claim(spark, sf_dir):
-    return j.claimable(records(spark, sf_dir, "job_records"), records(spark, sf_dir, "item_records"))
-
-
 @query(counted("SELECT job_id, processing AS running FROM c"))
 def agg_claim_count(spark, sf_dir):
     return j.state_counts(records(spark, sf_dir, "item_records")).select("job_id", F.col("processing").alias("running"))
@@ -126,33 +121,6 @@ def win_monotone(spark, sf_dir):
     return j.monotone(events, "item_id", ["created_at", "event_id"], "value", F.col("event_type") == "RETRY_REQUESTED").select("event_id", "item_id", "progress")
 
 
-FINAL = with_records("", "event_records").rstrip() + """, t AS (SELECT *, CASE WHEN source_type = 'signup' THEN 'COMPLETED' ELSE event_type END AS kind FROM event_records WHERE item_id IS NOT NULL),
-    w AS (SELECT *, coalesce(sum(CASE WHEN kind IN ('COMPLETED', 'FAILED', 'CANCELED') THEN 1 ELSE 0 END) OVER (PARTITION BY item_id ORDER BY created_at, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM t)
-    SELECT item_id, coalesce(max(kind) FILTER (ended = 0 AND kind IN ('COMPLETED', 'FAILED', 'CANCELED')), 'PROCESSING') AS status, count(*) FILTER (ended = 0 AND kind = 'RETRY_REQUESTED') AS retries, count(*) FILTER (ended > 0) AS late FROM w GROUP BY 1"""
-
-
-def _ended(spark, sf_dir):
-    rows = records(spark, sf_dir, "event_records").filter("item_id IS NOT NULL")
-    return j.final_states(rows.withColumn("event_type", F.when(F.col("source_type") == "signup", "COMPLETED").otherwise(F.col("event_type"))))
-
-
-@query(FINAL)
-def st_final(spark, sf_dir):
-    return _ended(spark, sf_dir)
-
-
-@query(f"SELECT item_id, late FROM ({FINAL}) WHERE late > 0")
-def st_late_drop(spark, sf_dir):
-    return _ended(spark, sf_dir).select("item_id", "late").filter("late > 0")
-
-
-@query(with_records("SELECT job_id, item_id, CASE WHEN retry_count < 3 THEN 'QUEUED' ELSE 'FAILED' END AS status, retry_count + CASE WHEN retry_count < 3 THEN 1 ELSE 0 END AS retries FROM item_records WHERE status = 'PROCESSING' AND started_at < 5000", "item_records"))
-def st_timeout(spark, sf_dir):
-    late = records(spark, sf_dir, "item_records").filter((F.col("status") == "PROCESSING") & (F.col("started_at") < 5000))
-    again = F.col("retry_count") < 3
-    return late.select("job_id", "item_id", F.when(again, "QUEUED").otherwise("FAILED").alias("status"), (F.col("retry_count") + F.when(again, 1).otherwise(0)).alias("retries"))
-
-
 @query(with_records("SELECT i.item_id, CASE WHEN j.cancel_requested AND i.status IN ('QUEUED', 'PROCESSING') THEN 'CANCELED' ELSE i.status END AS forced, CASE WHEN j.cancel_requested AND i.status = 'QUEUED' THEN 'CANCELED' ELSE i.status END AS status FROM item_records i JOIN job_records j ON i.job_id = j.job_id", "item_records", "job_records"))
 def st_cancel(spark, sf_dir):
     rows = records(spark, sf_dir, "item_records").select("job_id", "item_id", "status").join(records(spark, sf_dir, "job_records").select("job_id", "cancel_requested"), "job_id")

@@ -87,3 +87,40 @@ def jn_adjacent_tables(spark, sf_dir):
     first = _boxes(spark, sf_dir).groupBy("page", "element").agg(F.min(F.struct("x0", "y0", "x1", "y1", "kind")).alias("b")).select("page", "element", "b.*")
     tables = first.withColumns({"cols": F.col("element") % 2, "header": F.when(F.col("kind") != "N", F.col("kind"))})
     return lo.chains(tables, "page", "element", 800.0).select("page", "element", "chain")
+
+
+COVERED = SHARED + " >= 0.85 * " + AREA.format("a.") + " AND " + AREA.format("a.") + " > 0 AND " + AREA.format("b.") + " > 1.3 * " + AREA.format("a.")
+
+
+@query(boxed(f"SELECT b.page, b.element AS region, min(a.element) AS image FROM boxes a JOIN boxes b ON a.page = b.page AND a.kind = 'A' AND b.kind = 'R' WHERE {COVERED} GROUP BY 1, 2"))
+def jn_bbox_image_table(spark, sf_dir):
+    boxes = _boxes(spark, sf_dir)
+    return lo.covered_images(boxes.filter("kind = 'A'"), boxes.filter("kind = 'R'"), "page", "element")
+
+
+@query(boxed(f"""SELECT a.page, a.element, min(b.element) AS cell FROM boxes a JOIN (SELECT page, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM boxes WHERE kind = 'N' GROUP BY 1) t ON t.page = a.page AND a.x0 >= t.x0 - 6 AND a.y0 >= t.y0 - 6 AND a.x1 <= t.x1 + 6 AND a.y1 <= t.y1 + 6
+    JOIN boxes b ON a.page = b.page AND b.kind = 'N' WHERE a.kind = 'A' AND (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1 AND {SHARED} >= 0.70 * {AREA.format('a.')} AND {AREA.format('a.')} > 0 GROUP BY 1, 2"""))
+def jn_image_cell(spark, sf_dir):
+    """Images in cells: the unreturned lines of an order are the cells of its page's table."""
+    boxes = _boxes(spark, sf_dir)
+    cells = boxes.filter("kind = 'N'")
+    tables = cells.groupBy("page").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return lo.image_cells(boxes.filter("kind = 'A'"), cells, tables, "page", "element")
+
+
+SPANS = "SELECT page, element, y0 + element % 5 AS y, x0 FROM boxes"
+
+
+@query(boxed(f"SELECT page, element, y, sum(CASE WHEN y - p <= 3 THEN 0 ELSE 1 END) OVER (PARTITION BY page ORDER BY y, x0, element ROWS UNBOUNDED PRECEDING) AS line FROM (SELECT *, lag(y) OVER (PARTITION BY page ORDER BY y, x0, element) AS p FROM ({SPANS}))"))
+def win_row_group(spark, sf_dir):
+    """Spans of a page in visual rows."""
+    spans = _boxes(spark, sf_dir).select("page", "element", (F.col("y0") + F.col("element") % 5).alias("y"), "x0")
+    return lo.rows_of(spans, "page", "y", ["x0", "element"]).select("page", "element", "y", "line")
+
+
+@query(boxed(f"""SELECT page, NOT (page % 17 = 0 OR text_tables > 0 OR cell_images > 0 AND native > 0) AND text_length < 200 AND (images = 0 OR image_area < 0.7 * 480000) AS full_page FROM (SELECT page, CAST(sum(x0) AS BIGINT) % 300 AS text_length, count(*) FILTER (kind = 'A') AS images,
+    coalesce(sum((x1 - x0) * (y1 - y0)) FILTER (kind = 'A'), 0) AS image_area, count(*) FILTER (kind = 'R' AND element = 2) AS text_tables, count(*) FILTER (kind = 'A' AND element = 1) AS cell_images, count(*) FILTER (kind = 'N' AND element = 3) AS native FROM boxes GROUP BY 1)"""))
+def flt_fullpage(spark, sf_dir):
+    kind, element = F.col("kind"), F.col("element")
+    pages = _boxes(spark, sf_dir).groupBy("page").agg((F.sum("x0").cast("long") % 300).alias("text_length"), F.count_if(kind == "A").alias("images"), F.coalesce(F.sum(F.when(kind == "A", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")))), F.lit(0.0)).alias("image_area"), F.count_if((kind == "R") & (element == 2)).alias("text_tables"), F.count_if((kind == "A") & (element == 1)).alias("cell_images"), F.count_if((kind == "N") & (element == 3)).alias("native_tables"))
+    return lo.needs_full_page(pages.withColumns({"merged": F.col("page") % 17 == 0, "page_area": F.lit(480000.0)})).select("page", "full_page")

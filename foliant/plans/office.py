@@ -104,25 +104,6 @@ def fn_lcs(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", tb.udf_of(lcs_length, "long")("p_name", "p_type").alias("common"))
 
 
-@query(boxed("SELECT DISTINCT a.page, a.element FROM boxes a JOIN boxes b ON a.page = b.page AND a.kind = 'A' AND b.kind = 'R' WHERE " + SHARED + " >= 0.3 * " + AREA.format("a.") + " AND " + AREA.format("b.") + " > 1.3 * " + AREA.format("a.")))
-def jn_bbox_image_table(spark, sf_dir):
-    """Images that a larger region covers for the most part."""
-    boxes = _boxes(spark, sf_dir)
-    regions = boxes.filter("kind = 'R'").select("page", *[F.col(s).alias(f"o_{s}") for s in lo.SIDES])
-    a, b = lo.box(), lo.box("o_")
-    return boxes.filter("kind = 'A'").join(regions, "page").filter((lo.overlap(a, b) >= 0.3 * lo.area(a)) & (lo.area(b) > 1.3 * lo.area(a))).select("page", "element").distinct()
-
-
-@query(boxed("SELECT a.page, a.element, min(b.element) AS cell FROM boxes a JOIN boxes b ON a.page = b.page AND a.kind = 'A' AND b.kind = 'N' WHERE (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 AND (a.y0 + a.y1) / 2 BETWEEN b.y0 AND b.y1 GROUP BY 1, 2"))
-def jn_image_cell(spark, sf_dir):
-    """The first cell that holds an image's centre."""
-    boxes = _boxes(spark, sf_dir)
-    cells = boxes.filter("kind = 'N'").select("page", F.col("element").alias("cell"), *[F.col(s).alias(f"o_{s}") for s in lo.SIDES])
-    a, b = lo.box(), lo.box("o_")
-    hit = boxes.filter("kind = 'A'").join(cells, "page").filter(((a[0] + a[2]) / 2).between(b[0], b[2]) & ((a[1] + a[3]) / 2).between(b[1], b[3]))
-    return hit.groupBy("page", "element").agg(F.min("cell").alias("cell"))
-
-
 @query(boxed("SELECT page, element, round(sqrt(power((x0 + x1) / 2 - 300, 2) + power((y0 + y1) / 2 - 400, 2)), 6) AS off, x1 > x0 AND y1 > y0 AS sound FROM boxes"))
 def ma_bbox(spark, sf_dir):
     b = lo.box()
@@ -146,35 +127,6 @@ def win_gap_cluster(spark, sf_dir):
     return edges.select("page", F.posexplode(_over(lambda v: gap_clusters(list(v), 25.0), "array<double>")("v")).alias("cluster", "mean"))
 
 
-@query(boxed("SELECT page, element, CAST(dense_rank() OVER (PARTITION BY page ORDER BY CAST(trunc(y0 / 30) AS INTEGER)) AS INTEGER) AS line FROM boxes"))
-def win_row_group(spark, sf_dir):
-    """Boxes of a page in lines, bands of thirty."""
-    band = (F.col("y0") / 30).cast("int")
-    return _boxes(spark, sf_dir).select("page", "element", F.dense_rank().over(Window.partitionBy("page").orderBy(band)).alias("line"))
-
-
-@query(with_records("SELECT item_id, document_id % 10 AS page, item_id % 7 AS image FROM item_records WHERE job_id < 200 ORDER BY page, image, item_id", "item_records"))
-def srt_infer(spark, sf_dir):
-    return records(spark, sf_dir, "item_records").filter("job_id < 200").select("item_id", (F.col("document_id") % 10).alias("page"), (F.col("item_id") % 7).alias("image")).orderBy("page", "image", "item_id")
-
-
-@query("SELECT id, n - 1 + 1 AS rows, 0 AS incomplete FROM (SELECT l_orderkey AS id, count(*) + 1 AS n FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1)")
-def tb_diagnostics(spark, sf_dir):
-    from foliant.plans.tables import _tables
-
-    rows = _tables(spark, sf_dir)
-    return rows.select("id", tb.udf_of(lambda h: tb.grid_of(h).rows, "long")("truth").alias("rows"), tb.udf_of(lambda h: int("rows of different widths" in tb.grid_of(h).problems), "int")("truth").alias("incomplete"))
-
-
-@query("SELECT count(*) AS tables, 1.0::DOUBLE AS valid_rate, count(*) FILTER (n = k) * 1.0::DOUBLE / count(*) AS same_shape FROM (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_discount > 0) AS k FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1)")
-def agg_grid_eval(spark, sf_dir):
-    """Share of predicted tables that are valid grids, and of those with the true table's rows and columns."""
-    from foliant.plans.tables import _tables
-
-    facts = _tables(spark, sf_dir).select(tb.udf_of(lambda h: not tb.grid_of(h).problems, "boolean")("predicted").alias("ok"), tb.udf_of(lambda p, h: (tb.grid_of(p).rows, tb.grid_of(p).cols) == (tb.grid_of(h).rows, tb.grid_of(h).cols), "boolean")("predicted", "truth").alias("same"))
-    return facts.agg(F.count("*").alias("tables"), (F.count_if("ok") / F.count("*")).alias("valid_rate"), (F.count_if("same") / F.count("*")).alias("same_shape"))
-
-
 @query(with_records("SELECT i.item_id, CASE WHEN i.status IN ('COMPLETED', 'FAILED', 'CANCELED') THEN i.status ELSE 'CANCELED' END AS status FROM item_records i JOIN job_records j ON i.job_id = j.job_id WHERE j.cancel_requested", "item_records", "job_records"))
 def st_force_cancel(spark, sf_dir):
     """Items of canceled jobs: all that are not over are canceled, running ones too."""

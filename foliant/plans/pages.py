@@ -21,16 +21,6 @@ def flt_page_number(spark, sf_dir):
     return _lines(spark, sf_dir).filter(~F.btrim("line").rlike(r"^(-\s*\d+\s*-|\d{1,5})$")).select("doc_id", "pos")
 
 
-@query(f"""SELECT doc_id, count(*) AS kept FROM (SELECT *, min(CASE WHEN pos >= 1 AND length(line) > 50 AND (length(line) - length(replace(line, '#', ''))) * 1.0 / length(line) > 0.05 THEN pos END) OVER (PARTITION BY doc_id) AS cut FROM ({LINES})) WHERE cut IS NULL OR pos < cut GROUP BY 1""")
-def flt_garbage_pages(spark, sf_dir):
-    """Pages before the first, after the first page, that is garbage by its share of signs."""
-    line = F.col("line")
-    bad = (F.col("pos") >= 1) & (F.length(line) > 50) & ((F.length(line) - F.length(F.replace(line, F.lit("#"), F.lit("")))) / F.length(line) > 0.05)
-    rows = _lines(spark, sf_dir).withColumn("bad", F.when(bad, F.col("pos")))
-    cut = F.min("bad").over(Window.partitionBy("doc_id"))
-    return rows.withColumn("cut", cut).filter("cut IS NULL OR pos < cut").groupBy("doc_id").agg(F.count("*").alias("kept"))
-
-
 @query("SELECT page_id, length(html) < 2000 AND len(regexp_extract_all(html, '<p[ >]')) < 8 AS simple, len(regexp_extract_all(lower(html), '<tr[ >]')) >= 2 OR len(regexp_extract_all(lower(html), '<t[dh][ >]')) >= 3 AS real_table FROM pages")
 def flt_simple_table(spark, sf_dir):
     n = lambda p: F.regexp_count(F.lower("html"), F.lit(p))
@@ -43,24 +33,6 @@ def flt_native_reliable(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("rows"), ((F.count("*") >= 2) & (filled / F.count("*") >= 0.3)).alias("reliable"))
 
 
-@query("SELECT doc_id, n_chars < 2000 AND NOT source = 'src0' AS full_page FROM documents")
-def flt_fullpage(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", ((F.col("n_chars") < 2000) & (F.col("source") != "src0")).alias("full_page"))
-
-
-@query("SELECT doc_id, regexp_replace(lower(regexp_replace(text, '<[^>]*>', '', 'g')), '[^0-9a-z가-힣]', '', 'g') AS plain FROM documents")
-def fn_norm_plain(spark, sf_dir):
-    """Letters and figures alone, without tags."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.lower(F.regexp_replace("text", "<[^>]*>", "")), "[^0-9a-z가-힣]", "").alias("plain"))
-
-
-@query("SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(text, '[*_`#>]+', '', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[ \\t]+', ' ', 'g')) AS plain FROM conversations")
-def fn_strip_md(spark, sf_dir):
-    """Text without the marks of Markdown."""
-    plain = F.regexp_replace(F.regexp_replace("text", r"[*_`#>]+", ""), r"\[([^\]]*)\]\([^)]*\)", "$1")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.trim(F.regexp_replace(plain, r"[ \t]+", " ")).alias("plain"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(replace(text, chr(127), ' '), '[ \\t\\n]+', ' ', 'g')) AS clean FROM documents")
 def fn_sanitize(spark, sf_dir):
     """Control and private-use characters become spaces; white space is collapsed."""
@@ -134,32 +106,3 @@ def prj_build_doc(spark, sf_dir):
 @query("SELECT page_id, strlen(html) AS bytes, html LIKE '<!DOCTYPE html>%' AS typed FROM pages")
 def src_html_preview(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.startswith(F.col("html"), F.lit("<!DOCTYPE html>")).alias("typed"))
-
-
-def greedy(pairs, key, score):
-    """One-to-one matches by falling score within each key, as a fold over the key's sorted pairs in the JVM.
-
-    A pair is taken if neither side has been; ties go to the smaller ids. A key's pairs are one bounded document's."""
-    best = F.array_sort(F.collect_list(F.struct((-F.col(score)).alias("s"), "a", "b")))
-    empty = F.array().cast("array<struct<s:double,a:bigint,b:bigint>>")
-    taken = F.aggregate(best, empty, lambda acc, x: F.when(F.exists(acc, lambda y: (y["a"] == x["a"]) | (y["b"] == x["b"])), acc).otherwise(F.concat(acc, F.array(x))))
-    return pairs.groupBy(key).agg(taken.alias("m")).select(key, F.explode("m").alias("x")).select(key, "x.a", "x.b", (-F.col("x.s")).alias(score))
-
-
-@query()
-def jn_table_greedy(spark, sf_dir):
-    """Tables predicted and true of each order, matched by how like their sizes are."""
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0").select("l_orderkey", F.col("l_linenumber").cast("long").alias("n"), "l_quantity").dropDuplicates(["l_orderkey", "n"])
-    other = lines.select("l_orderkey", F.col("n").alias("b"), F.col("l_quantity").alias("q"))
-    pairs = lines.withColumnRenamed("n", "a").join(other, "l_orderkey").filter("(a + b) % 2 = 1").withColumn("score", F.round(F.least("l_quantity", "q") / F.greatest("l_quantity", "q"), 4))
-    return greedy(pairs, "l_orderkey", "score")
-
-
-@query("SELECT l_orderkey AS id, 1 + count(*) AS rows, 2 + 3 * count(*) AS anchors FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY 1")
-def win_rowspan_fill(spark, sf_dir):
-    """Places that a table's cells hold, rows and columns that spans fill included."""
-    from foliant.plans.tables import _tables
-
-    rows = tb.udf_of(lambda h: tb.grid_of(h).rows, "long")("truth")
-    cells = tb.udf_of(lambda h: len(tb.grid_of(h).cells), "long")("truth")
-    return _tables(spark, sf_dir).select("id", rows.alias("rows"), cells.alias("anchors"))

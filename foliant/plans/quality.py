@@ -2,40 +2,64 @@
 
 from pyspark.sql import functions as F
 
+from foliant.operators import text as t
 from foliant.plans.bindings import table
 from foliant.registry import query
 
 
-def file_results(labels, docs):
-    """Metrics of each labelled file, rounded to four places before any mean."""
-    return labels.join(docs.select("doc_id", "source", "n_chars"), "doc_id").select("doc_id", F.col("source").alias("engine"), F.when(F.col("toxic") == 1, F.lit("parse error")).alias("error"), F.round(F.col("n_chars") % 977 / 977, 4).alias("cer"), F.when(F.col("doc_id") % 5 != 0, F.round(F.col("n_chars") % 313 / 313, 4)).alias("table_match"), (F.col("quality") == 1).alias("multipage_ok"), F.round(F.col("n_chars") * F.lit(0.4) * F.lit(0.56) / 1_000_000, 6).alias("cost"))
+# Tokens a character, and dollars for a million tokens read and written.
+TOKENS, READ, WRITTEN = 0.4, 0.40, 0.16
+
+
+def cost(chars):
+    """Estimated dollars of a text, to six places."""
+    return F.round(chars * F.lit(TOKENS) / 1_000_000 * F.lit(READ + WRITTEN), 6)
+
+
+def file_results(turns):
+    """Metrics of each predicted text (a turn in lower case) against the true one, rounded to four places before any mean."""
+    predicted = F.lower("text")
+    return turns.select("conv_id", "turn", F.col("role").alias("engine"), F.when(F.col("turn") == 3, F.lit("parse error")).alias("error"), F.round(t.cer(predicted, F.col("text")), 4).alias("cer"), F.when(F.col("turn") != 1, F.round(t.set_f1(t.tokens(F.col("text")), t.tokens(F.col("role"))), 4)).alias("table_match"), (F.length("text") > 400).alias("multipage_ok"), cost(F.length("text")).alias("cost"))
 
 
 def summary(results):
     """By engine: all files, errors, means over those without error, share of multi-page passes, sum of costs."""
     ok = F.col("error").isNull()
     mean = lambda c: F.try_divide(F.sum(F.when(ok, F.round(F.col(c) * 10_000).cast("long"))), F.count(F.when(ok, F.col(c))) * 10_000).alias(c)  # noqa: E731  whole ten-thousandths, so that sums are exact
-    return results.groupBy("engine").agg(F.count("*").alias("total_files"), F.count_if(~ok).alias("errors"), mean("cer"), mean("table_match"), F.round(F.try_divide(F.count_if(ok & F.col("multipage_ok")), F.count_if(ok)), 6).alias("multipage"))
+    dollars = F.sum(F.when(ok, F.round(F.col("cost") * 1_000_000).cast("long"))) / 1_000_000
+    return results.groupBy("engine").agg(F.count("*").alias("total_files"), F.count_if(~ok).alias("errors"), mean("cer"), mean("table_match"), F.round(F.try_divide(F.count_if(ok & F.col("multipage_ok")), F.count_if(ok)), 6).alias("multipage"), dollars.alias("cost"))
 
 
-RESULTS = """SELECT l.doc_id, d.source AS engine, CASE WHEN toxic = 1 THEN 'parse error' END AS error, round(d.n_chars % 977 / 977.0, 4) AS cer, CASE WHEN l.doc_id % 5 <> 0 THEN round(d.n_chars % 313 / 313.0, 4) END AS table_match, quality = 1 AS multipage_ok
-    FROM labels l JOIN documents d ON d.doc_id = l.doc_id"""
+ONE = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+DOLLARS = "round(length(text) * 0.4::DOUBLE / 1000000 * 0.56::DOUBLE, 6)"
+RESULTS = f"""SELECT conv_id, turn, role AS engine, CASE WHEN turn = 3 THEN 'parse error' END AS error, CASE WHEN length({ONE.format('text')}) > 0 THEN round(levenshtein({ONE.format('lower(text)')}, {ONE.format('text')})::DOUBLE / length({ONE.format('text')}), 4) END AS cer,
+    CASE WHEN turn <> 1 THEN CASE WHEN len(w) = 0 THEN 0.0::DOUBLE ELSE round(2.0 * CAST(list_contains(w, role) AS INTEGER) / (len(w) + 1), 4) END END AS table_match, length(text) > 400 AS multipage_ok, {DOLLARS} AS cost FROM (SELECT *, list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM conversations)"""
 
 
 @query(RESULTS)
 def agg_file_metrics(spark, sf_dir):
-    return file_results(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")).drop("cost")
+    return file_results(table(spark, sf_dir, "conversations"))
 
 
-@query(f"SELECT engine, count(*) AS total_files, count(error) AS errors, CAST(sum(CAST(round(cer * 10000) AS BIGINT)) FILTER (error IS NULL) AS DOUBLE) / CAST(count(cer) FILTER (error IS NULL) * 10000 AS DOUBLE) AS cer, CAST(sum(CAST(round(table_match * 10000) AS BIGINT)) FILTER (error IS NULL) AS DOUBLE) / CAST(count(table_match) FILTER (error IS NULL) * 10000 AS DOUBLE) AS table_match, round(count(*) FILTER (error IS NULL AND multipage_ok) * 1.0 / nullif(count(*) FILTER (error IS NULL), 0), 6) AS multipage FROM ({RESULTS}) GROUP BY 1")
+@query(f"SELECT engine, count(*) AS total_files, count(error) AS errors, CAST(sum(CAST(round(cer * 10000) AS BIGINT)) FILTER (error IS NULL) AS DOUBLE) / CAST(count(cer) FILTER (error IS NULL) * 10000 AS DOUBLE) AS cer, CAST(sum(CAST(round(table_match * 10000) AS BIGINT)) FILTER (error IS NULL) AS DOUBLE) / CAST(count(table_match) FILTER (error IS NULL) * 10000 AS DOUBLE) AS table_match, round(count(*) FILTER (error IS NULL AND multipage_ok) * 1.0 / nullif(count(*) FILTER (error IS NULL), 0), 6) AS multipage, CAST(sum(CAST(round(cost * 1000000) AS BIGINT)) FILTER (error IS NULL) AS DOUBLE) / 1000000 AS cost FROM ({RESULTS}) GROUP BY 1")
 def agg_eval_summary(spark, sf_dir):
-    return summary(file_results(table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents")))
+    return summary(file_results(table(spark, sf_dir, "conversations")))
+
 
+@query(f"SELECT conv_id, turn, {DOLLARS} AS dollars FROM conversations")
+def ma_cost(spark, sf_dir):
+    """Dollars that a text is estimated at."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", cost(F.length("text")).alias("dollars"))
 
-@query("SELECT source AS model, lang AS mode, round(avg(n_chars), 4) AS mean_chars, round(stddev_samp(n_chars), 4) AS stdev_chars, round(avg(lines), 4) AS mean_lines FROM (SELECT *, len(string_split(text, chr(10))) AS lines FROM documents) GROUP BY 1, 2")
+
+COUNTS = {"chars": ("length(text)", lambda: F.length("text")), "lines": ("len(string_split(text, chr(10)))", lambda: F.size(F.split("text", "\n"))), "words": ("len(regexp_extract_all(text, '[^ \\t\\n]+'))", lambda: F.regexp_count("text", F.lit("[^ \\t\\n]+"))), "sentences": ("len(regexp_extract_all(text, '[.!?]'))", lambda: F.regexp_count("text", F.lit("[.!?]"))), "digits": ("len(regexp_extract_all(text, '[0-9]'))", lambda: F.regexp_count("text", F.lit("[0-9]")))}
+
+
+@query("SELECT source AS model, lang AS mode, " + ", ".join(f"round(avg({c}), 4) AS mean_{k}, round(stddev_samp({c}), 4) AS stdev_{k}" for k, (c, _) in COUNTS.items()) + " FROM documents GROUP BY 1, 2")
 def agg_structure_stats(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").withColumn("lines", F.size(F.split("text", "\n")))
-    return rows.groupBy(F.col("source").alias("model"), F.col("lang").alias("mode")).agg(F.round(F.avg("n_chars"), 4).alias("mean_chars"), F.round(F.stddev_samp("n_chars"), 4).alias("stdev_chars"), F.round(F.avg("lines"), 4).alias("mean_lines"))
+    """Mean and sample deviation of five counts by model and mode."""
+    rows = table(spark, sf_dir, "documents").select("source", "lang", *[c().alias(k) for k, (_, c) in COUNTS.items()])
+    return rows.groupBy(F.col("source").alias("model"), F.col("lang").alias("mode")).agg(*[f(F.round(g(k), 4), f"{n}_{k}") for k in COUNTS for f, g, n in ((lambda x, name: x.alias(name), F.avg, "mean"), (lambda x, name: x.alias(name), F.stddev_samp, "stdev"))])
 
 
 @query("SELECT o_orderkey, count(l_orderkey) AS n_tables, count(l_orderkey) = 1 AS passed, coalesce(sum(CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END) * 1.0 / nullif(count(l_orderkey), 0), 0.0) AS valid_rate FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
@@ -44,11 +68,3 @@ def tb_multipage(spark, sf_dir):
     valid = F.when(F.col("l_linenumber") % 2 == 0, 1).when(F.col("l_linenumber").isNotNull(), 0)
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left")
     return rows.groupBy("o_orderkey").agg(F.count("l_orderkey").alias("n_tables"), (F.count("l_orderkey") == 1).alias("passed"), F.coalesce(F.avg(valid), F.lit(0.0)).alias("valid_rate"))
-
-
-@query("SELECT l_orderkey, l_linenumber, round(0.35 * r + 0.35 * c + 0.2 * CAST(l_returnflag = 'N' AS INTEGER) + 0.1 * CAST(l_linestatus = 'O' AS INTEGER), 3) AS score FROM (SELECT *, CASE WHEN l_linenumber % 4 = 0 AND l_linenumber % 3 = 0 THEN 1.0 ELSE least(l_linenumber % 4, l_linenumber % 3) * 1.0 / greatest(l_linenumber % 4, l_linenumber % 3) END AS r, least(l_tax, 0.04) / greatest(l_tax, 0.04) AS c FROM lineitem)")
-def ma_table_score(spark, sf_dir):
-    ratio = lambda a, b: F.when((a == 0) & (b == 0), 1.0).otherwise(F.try_divide(F.least(a, b), F.greatest(a, b)))
-    n, tax = F.col("l_linenumber"), F.col("l_tax")
-    score = 0.35 * ratio(n % 4, n % 3) + 0.35 * ratio(tax, F.lit(0.04)) + 0.2 * (F.col("l_returnflag") == "N").cast("int") + 0.1 * (F.col("l_linestatus") == "O").cast("int")
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(score, 3).alias("score"))

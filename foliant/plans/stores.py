@@ -12,10 +12,10 @@ def upsert(old, new, key):
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-@query("SELECT 'customer' AS namespace, CAST(c_custkey AS VARCHAR) AS entry_key, c_name AS name FROM customer WHERE c_custkey < 500 ORDER BY 2")
+@query("SELECT 'customer' AS namespace, CAST(c_custkey AS VARCHAR) AS entry_key, c_name AS name FROM customer ORDER BY 2")
 def src_kv(spark, sf_dir):
     """A namespace's entries in the order of their keys, decoded from JSON."""
-    stored = table(spark, sf_dir, "customer").filter("c_custkey < 500").select(F.lit("customer").alias("namespace"), F.col("c_custkey").cast("string").alias("entry_key"), F.to_json(F.struct("c_name", "c_acctbal")).alias("value"))
+    stored = table(spark, sf_dir, "customer").select(F.lit("customer").alias("namespace"), F.col("c_custkey").cast("string").alias("entry_key"), F.to_json(F.struct("c_name", "c_acctbal")).alias("value"))
     return stored.filter("namespace = 'customer'").select("namespace", "entry_key", F.from_json("value", "c_name string")["c_name"].alias("name")).orderBy("entry_key")
 
 
@@ -53,11 +53,14 @@ def src_queue(spark, sf_dir):
     return records(spark, sf_dir, "job_records").select(F.col("model").alias("route"), "job_id", F.row_number().over(order).alias("place"))
 
 
-@query(with_records("SELECT model AS route, job_id, turn FROM (SELECT model, job_id, place, row_number() OVER (ORDER BY place, model) AS turn FROM (SELECT model, job_id, row_number() OVER (PARTITION BY model ORDER BY created_at, job_id) AS place FROM job_records) WHERE place <= 20)", "job_records"))
+@query(with_records("SELECT model AS route, job_id, row_number() OVER (ORDER BY place, model) AS turn FROM (SELECT model, job_id, row_number() OVER (PARTITION BY model ORDER BY created_at, job_id) AS place FROM job_records)", "job_records"))
 def st_round_robin(spark, sf_dir):
-    """The first messages of each route, taken from the routes in turn."""
-    first = src_queue(spark, sf_dir).filter("place <= 20")
-    return first.withColumn("turn", F.row_number().over(Window.orderBy("place", "route")).cast("long")).select("route", "job_id", "turn")
+    """The messages of all routes, taken from the routes in turn. A message's turn follows from its place and the routes'
+    sizes, one row of all of which is joined, so that no task numbers all messages."""
+    queued = src_queue(spark, sf_dir)
+    sizes = queued.groupBy("route").agg(F.count("*").alias("n")).agg(F.collect_list(F.struct("route", "n")).alias("sizes"))
+    before = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, r: a + F.least(r["n"], F.col("place") - 1) + F.when((r["route"] <= F.col("route")) & (r["n"] >= F.col("place")), 1).otherwise(0))
+    return queued.join(F.broadcast(sizes)).select("route", "job_id", before.alias("turn"))
 
 
 @query("SELECT stem, quality, toxic FROM (SELECT doc_id % 300 AS stem, quality, toxic, row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id) AS n FROM labels) WHERE n = 1")
@@ -72,12 +75,6 @@ def src_bench_inputs(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[^?#]*", 0).alias("path")).agg(F.min("page_id").alias("page_id"))
 
 
-@query("SELECT page_id, url FROM pages WHERE (contains(url, '.html') OR contains(url, 'page=')) AND NOT contains(url, '//www.')")
-def src_dir_scan(spark, sf_dir):
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").filter((F.contains(url, F.lit(".html")) | F.contains(url, F.lit("page="))) & ~F.contains(url, F.lit("//www."))).select("page_id", "url")
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def sink_delete(spark, sf_dir):
     """What stays after records and what hangs on them are deleted."""
@@ -118,13 +115,6 @@ def st_recovery(spark, sf_dir):
     return items.join(leases, "item_id", "left").select("item_id", F.when(runs & F.col("expires").isNull(), "retry").when(runs & (F.col("expires") <= 6000), "requeue").otherwise("leave").alias("action"))
 
 
-@query(with_records("SELECT item_id, status = 'PROCESSING' AND completed_at > 4000 AND retry_count = attempt AS renewed FROM (SELECT *, item_id % 4 AS attempt FROM item_records) WHERE completed_at IS NOT NULL", "item_records"))
-def st_lease(spark, sf_dir):
-    """Whether a heartbeat renews its lease: it must be alive and of the same attempt."""
-    rows = records(spark, sf_dir, "item_records").filter("completed_at IS NOT NULL")
-    return rows.select("item_id", ((F.col("status") == "PROCESSING") & (F.col("completed_at") > 4000) & (F.col("retry_count") == F.col("item_id") % 4)).alias("renewed"))
-
-
 @query(with_records("SELECT job_id, max(document_id) AS resume_from, count(*) AS done FROM item_records WHERE status = 'COMPLETED' GROUP BY 1", "item_records"))
 def st_resume(spark, sf_dir):
     """Where each job goes on: after the last document that was completed."""

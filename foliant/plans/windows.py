@@ -26,13 +26,6 @@ def win_chunk_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_id", "line"))
 
 
-@query("SELECT doc_id, pos // 3 AS page, count(*) AS lines FROM (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents) GROUP BY 1, 2")
-def win_page_paging(spark, sf_dir):
-    """Pages of three lines."""
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.groupBy("doc_id", F.floor(F.col("pos") / 3).alias("page")).agg(F.count("*").alias("lines"))
-
-
 @query("SELECT l_orderkey, count(*) AS total, count(*) FILTER (l_linestatus = 'F') AS done, count(*) = count(*) FILTER (l_linestatus = 'F') AS complete FROM lineitem GROUP BY 1")
 def win_pages_done(spark, sf_dir):
     done = F.count_if(F.col("l_linestatus") == "F")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ("plans.dashboard", "plans.monitoring", "plans.jobs", "plans.scalars", "plans.windows", "plans.sets", "plans.retrieval", "plans.layout", "plans.quality", "plans.tables", "plans.streams", "plans.files", "plans.stores", "plans.pages", "plans.office", "plans.extras")
+MODULES = ("plans.dashboard", "plans.monitoring", "plans.jobs", "plans.scalars", "plans.windows", "plans.sets", "plans.retrieval", "plans.layout", "plans.quality", "plans.tables", "plans.streams", "plans.files", "plans.stores", "plans.pages", "plans.office", "plans.extras", "plans.cleaning", "plans.service")
 
 
 def query(sql: str | None = None, name: str | None = None):

@@ -1,9 +1,12 @@
-"""Structured Streaming forms: windows over event time with late data, keyed states, and running counts."""
+"""Structured Streaming forms: windows over event time with late data, and running a stream over what there is."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from foliant.scratch import shared_path
 
 
 def windowed_counts(events: DataFrame, width: str, late: str, at: str = "ts", key: str = "event_type") -> DataFrame:
@@ -12,17 +15,24 @@ def windowed_counts(events: DataFrame, width: str, late: str, at: str = "ts", ke
     return rows.groupBy(F.window(at, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), key, "n", "total")
 
 
-def latest_states(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """Fold a micro-batch of events into the states so far: the first terminal state stays, progress never goes back,
-    attempts add up. For use in foreachBatch with a keyed table; repeating a batch whose ids are known changes nothing."""
-    new = batch.groupBy("key").agg(F.max("progress").alias("new_progress"), F.min_by(F.when(F.col("kind").isin("COMPLETED", "FAILED", "CANCELED"), F.col("kind")), F.when(F.col("kind").isin("COMPLETED", "FAILED", "CANCELED"), F.struct("at", "id"))).alias("new_end"), F.max("id").alias("new_id"), F.count("*").alias("new_n"))
-    both = known.join(new, "key", "full")
-    fresh = F.col("last_id").isNull() | (F.col("new_id") > F.col("last_id"))
-    return both.select("key", F.when(F.col("end").isNotNull() | ~F.coalesce(fresh, F.lit(False)), F.col("progress")).otherwise(F.greatest("progress", "new_progress")).alias("progress"), F.coalesce("end", F.when(fresh, F.col("new_end"))).alias("end"), F.greatest("last_id", "new_id").alias("last_id"), (F.coalesce("n", F.lit(0)) + F.when(F.coalesce(fresh, F.lit(False)), F.coalesce("new_n", F.lit(0))).otherwise(0)).alias("n"))
+def run_once(query: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives over all that there is now, as a table in the shared folder, its checkpoint beside it.
+
+    Each micro-batch overwrites a part of its own number, so one that is run again changes nothing. In complete mode the last
+    part is the result, in update mode each key's row of the last part that has it, in append mode all rows."""
+    folder = shared_path(query.sparkSession, "stream")
 
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/parts/batch={number}")
 
-def run_once(query: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what there is now, into a table in memory, and give that."""
-    running = query.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running = query.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     running.awaitTermination()
-    return query.sparkSession.table(name)
+    schema = StructType([*query.schema.fields, StructField("batch", LongType())])
+    parts = query.sparkSession.read.schema(schema).option("basePath", f"{folder}/parts").parquet(f"{folder}/parts")
+    if mode == "complete":
+        last = parts.agg(F.max("batch")).first()[0]
+        return parts.filter(F.col("batch") == last).drop("batch")
+    if mode == "update":
+        row = F.struct(*query.columns)
+        return parts.groupBy(*keys).agg(F.max_by(row, "batch").alias("row")).select("row.*")
+    return parts.drop("batch")
