@@ -106,14 +106,17 @@ def digest_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(h1), pa.array(h2)], ["h1", "h2"])
 
 
-def texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
-    """node and text, one for each of nodes (node, doc, h1, h2), stored. texts: doc, text; of rows that repeat an id, that
-    one whose set has the node's digest is taken."""
+def texts_of(nodes: DataFrame, texts: DataFrame, repeated: bool) -> DataFrame:
+    """node and text, one for each of nodes (node, doc, h1, h2), stored. texts: doc, text; where ids are repeated, that row of
+    an id is taken whose set has the node's digest."""
+    if not repeated:
+        return stored(texts.join(few(nodes.select("doc", "node")), "doc").select("node", "text"), "pair-texts")
     some = texts.join(few(nodes.select("doc").distinct()), "doc", "left_semi").withColumn("h", digest_of("text"))
-    return stored(some.select("doc", "text", "h.*").join(nodes, ["doc", "h1", "h2"]).select("node", "text").dropDuplicates(["node"]), "pair-texts")
+    sure = lambda c: F.coalesce(c, F.lit(0)).alias(c.partition(".")[2])  # noqa: E731  never null, or the join's test for nulls works the digest out again
+    return stored(some.select("doc", "text", sure("h.h1"), sure("h.h2")).join(nodes, ["doc", "h1", "h2"]).select("node", "text").dropDuplicates(["node"]), "pair-texts")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int = PERCENT, repeated: bool = True) -> DataFrame:
     """The pairs (a, b) of nodes whose full shingle sets share percent of their union. texts: doc, text.
 
     Texts go through the shuffle, not their sets, which are several times larger. Rows of one b come together, so its
@@ -121,7 +124,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
     """
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = stored(nodes.select("node", "doc", "h1", "h2").join(wanted, "node", "left_semi"), "pair-nodes")
-    some = texts_of(wanted, texts)
+    some = texts_of(wanted, texts, repeated)
     rows = pairs.join(some.withColumnsRenamed({"node": "a", "text": "text_a"}), "a").join(some.withColumnsRenamed({"node": "b", "text": "text_b"}), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +153,8 @@ def members(base: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """h1, h2 and first (that of its component's first row) of all sets of base (sketches) that have copies or links."""
     nodes = base.filter("n > 0").groupBy("h1", "h2").agg(F.min(F.struct("at", "doc", "n", "sig", "bits")).alias("x"), F.min("first").alias("first"), F.count("*").alias("copies"))
     nodes = stored(nodes.select("h1", "h2", "copies", "first", F.col("x.at").alias("node"), "x.doc", "x.n", "x.sig", "x.bits"), "nodes")
-    links = linked(nodes, texts, percent)
+    repeated = not base.groupBy("doc").count().filter("count > 1").isEmpty()
+    links = linked(nodes, texts, percent, repeated)
     labels = components(links) if links is not None else nodes.limit(0).select("node", F.col("node").alias("component"))
     known = nodes.join(labels, "node", "left").filter("copies > 1 OR component IS NOT NULL").select("h1", "h2", "first", F.coalesce("component", "node").alias("component"))
     known = stored(known, "members")
@@ -158,7 +162,7 @@ def members(base: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return known.select("h1", "h2", "component").join(whole, "component").select("h1", "h2", "first")
 
 
-def linked(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None:
+def linked(nodes: DataFrame, texts: DataFrame, percent: int, repeated: bool) -> DataFrame | None:
     """Links (a, b) that connect all nodes whose sets share percent of their union and that meet under a key; None without.
 
     Each turn compares nodes of different components alone, and keys whose rows are in one component are done."""
@@ -181,7 +185,7 @@ def linked(nodes: DataFrame, texts: DataFrame, percent: int) -> DataFrame | None
         if pairs.isEmpty():
             continue
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = confirmed(pairs, nodes, texts, percent)
+        new = confirmed(pairs, nodes, texts, percent, repeated)
         links = new if links is None else links.unionByName(new)
         if turn > CLOSEST_ROUNDS:
             drop(open_rows)
