@@ -3,9 +3,12 @@
 One regular expression finds the entities of a text; what lies between them is kept. Each entity becomes a surrogate that
 a secret key and the entity alone decide, so one entity has one surrogate in the whole corpus (coreference):
 - numbers (cards, phones, IPv4 addresses, social security numbers) go through a keyed Feistel permutation of the digits
-  of their format, so different numbers of a format stay different; cards get a valid check digit again;
-- e-mail addresses, secrets and each word of a name get parts of a keyed hash, of 64 bits at least. A grouped check over
-  all entities looks for two that share a surrogate; if there are any, the next key of a fixed sequence is taken for all.
+  of their format, so different numbers of a format stay different; cards keep their brand's digit and get a valid check
+  digit again, phones keep a country code that is written with a plus;
+- e-mail addresses, access keys and secrets keep their length and the class of each character; up to SHORT characters
+  this is a permutation, so different ones stay different. Addresses end in .example, after their own last label;
+- each word of a name gets parts of a keyed hash, of 64 bits at least. A grouped check over all entities that are not
+  numbers looks for two that share a surrogate; if there are any, the next key of a fixed sequence is taken for all.
 Names follow a title or begin with a given name of the lists in names.py; they go on over all capitalised words, initials
 and particles. Their surrogates have the gender and script of the name.
 """
@@ -34,6 +37,10 @@ MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Господи
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Госпожа"]
 LATIN_SYLLABLES = (list("bdfghjklmnprstvz"), [v + c for v in "aeiou" for c in ("", "n", "l")] + ["ei"])
 CYRILLIC_SYLLABLES = (list("бдфгхжклмнпрствз"), [v + c for v in "аеиоу" for c in ("", "н", "л")] + ["ай"])
+# The alphabets within which a character is replaced.
+ALPHABETS = ["0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "абвгдежзийклмнопрстуфхцчшщъыьэюя", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"]
+#: Characters up to which a replacement of characters is a permutation.
+SHORT = 64
 #: Syllables of a surrogate's word, of eight bits each.
 SYLLABLES = 8
 
@@ -59,8 +66,11 @@ NAME = r"\p{Lu}(?:\p{L}|['’-]\p{L})++"
 PARTICLES = ["von", "vom", "van", "de", "der", "den", "del", "della", "di", "da", "do", "dos", "du", "la", "le", "ten", "ter", "zu", "zum", "zur", "bin", "ibn", "al", "el"]
 BEFORE_NAME = rf"(?:(?:{'|'.join(PARTICLES)}|\p{{Lu}}\.) )*+"
 GIVEN = rf"{names.pattern_of(names.MALE.split() + names.FEMALE.split())}(?:['’-]\p{{L}}++)*+(?!\p{{L}})"
-HOST = r"[\p{L}\d](?:[\p{L}\d-]*+(?<!-))(?:\.[\p{L}\d](?:[\p{L}\d-]*+(?<!-)))+"
-EMAIL = rf"[\p{{L}}\d][\p{{L}}\d._%+-]*+@{HOST}"
+#: Labels and local parts have 63 and 64 characters at most, as the standards say, so no start is scanned far in vain.
+#: All repeated groups are possessive or of few turns: others take a stack frame a turn, and long texts have many turns.
+LABEL = r"[\p{L}\d][\p{L}\d-]{0,62}+(?<!-)"
+HOST = rf"{LABEL}(?:\.{LABEL})++"
+EMAIL = rf"[\p{{L}}\d][\p{{L}}\d._%+-]{{0,63}}+@{HOST}"
 ACCESS_KEY = r"A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"
 SECRET = r"""(?:[Pp]ass(?:word|wd)|PASSWORD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)\s{0,3}[=:]\s{0,3}["']?[^\s"',;=:]{6,}"""
 IP = rf"(?:{OCTET}\.){{3}}{OCTET}(?![\p{{L}}\d]|\.\d)"
@@ -153,8 +163,30 @@ def hash_below(key: str, modulus: Column, *parts: Column) -> Column:
     return F.conv(F.substring(keyed(key, *parts), 1, 15), 16, 10).cast("long") % modulus
 
 
-def letters(hexadecimal: Column) -> Column:
-    return F.translate(hexadecimal, "0123456789abcdef", "abcdefghijklmnop")
+def masked(text: Column, key: str, *tweak: Column) -> Column:
+    """text with every letter and digit replaced by one of its alphabet; other characters stay, and so does the length.
+
+    A character is shifted by a keyed hash of all before it, then by one of all after it, so both steps can be undone from
+    one end to the other: different texts stay different. Over SHORT characters, where hashing all before each would be
+    quadratic, the shifts come from one hash of the whole."""
+    every, ends = "".join(ALPHABETS), [sum(map(len, ALPHABETS[: i + 1])) for i in range(len(ALPHABETS))]
+
+    def shifted(c: Column, h: Column) -> Column:
+        """c moved on within its alphabet by what a hash says."""
+        def moved(place: Column) -> Column:
+            own = lambda i: F.substring(F.lit(every), F.lit(ends[i] - len(ALPHABETS[i]) + 1) + F.pmod(place - 1 - (ends[i] - len(ALPHABETS[i])) + F.pmod(F.xxhash64(h), F.lit(len(ALPHABETS[i]))), F.lit(len(ALPHABETS[i]))).cast("int"), F.lit(1))
+            return reduce(lambda w, i: w.when(place <= ends[i], own(i)), range(1, len(ALPHABETS)), F.when(place == 0, c).when(place <= ends[0], own(0)))
+
+        return F.get(F.transform(F.array(F.instr(F.lit(every), c)), moved), F.lit(0))
+
+    def replaced(chars: Column) -> Column:
+        hashed = lambda side, *parts: F.sha2(F.concat_ws("\x1f", F.lit(f"{key}/{side}"), *tweak, *parts), 256)
+        forth = F.transform(chars, lambda c, i: shifted(c, hashed("forth", F.array_join(F.slice(chars, F.lit(1), i), ""))))
+        back = F.transform(F.array(forth), lambda y: F.transform(y, lambda c, i: shifted(c, hashed("back", F.array_join(F.slice(y, i + 2, F.size(y)), "")))))
+        long = F.transform(F.array(hashed("whole", text)), lambda w: F.transform(chars, lambda c, i: shifted(c, F.sha2(F.concat_ws("\x1f", w, i.cast("string")), 256))))
+        return F.array_join(F.get(F.when(F.size(chars) <= SHORT, back).otherwise(long), F.lit(0)), "")
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))), replaced), F.lit(0))
 
 
 def refit(entity: Column, digits: Column) -> Column:
@@ -168,15 +200,15 @@ def new_digits(items: Column, key: str) -> Column:
     """items: entities of kind, text and head (digits kept) and body (digits permuted, in base `base`). Adds the halves
     a, b of the body permuted by four Feistel rounds, each a transform of its own so that no round is worked out twice."""
     half = F.lit(10).cast("long")
-    size = lambda x, side: F.when(x["kind"] == "ip", F.lit(4096)).otherwise(F.pow(half, side)).cast("long")
+    size = lambda x, side: F.when(x["kind"] == "ip", F.lit(65536)).otherwise(F.pow(half, side)).cast("long")
     def split(x: Column) -> Column:
         n = F.length(x["body"])
         low = (n / 2).cast("int")
         ip = F.split(x["text"], r"\.")
-        tail = (F.get(ip, F.lit(1)).cast("long") * 256 + F.get(ip, F.lit(2)).cast("long")) * 256 + F.get(ip, F.lit(3)).cast("long")
+        pair = lambda i: F.get(ip, F.lit(i)).cast("long") * 256 + F.get(ip, F.lit(i + 1)).cast("long")
         is_ip = x["kind"] == "ip"
-        a = F.when(is_ip, F.shiftright(tail, 12)).otherwise(F.coalesce(F.try_to_number(F.substring(x["body"], F.lit(1), low), F.lit("9" * 18)).cast("long"), F.lit(0)))
-        b = F.when(is_ip, tail % 4096).otherwise(F.coalesce(F.try_to_number(F.substring(x["body"], low + 1, n), F.lit("9" * 18)).cast("long"), F.lit(0)))
+        a = F.when(is_ip, pair(0)).otherwise(F.coalesce(F.try_to_number(F.substring(x["body"], F.lit(1), low), F.lit("9" * 18)).cast("long"), F.lit(0)))
+        b = F.when(is_ip, pair(2)).otherwise(F.coalesce(F.try_to_number(F.substring(x["body"], low + 1, n), F.lit("9" * 18)).cast("long"), F.lit(0)))
         return F.struct(x["kind"].alias("kind"), x["text"].alias("text"), x["head"].alias("head"), size(x, low).alias("ma"), size(x, n - low).alias("mb"), low.alias("na"), (n - low).alias("nb"), a.alias("a"), b.alias("b"))
 
     def turn(r: int):
@@ -198,26 +230,32 @@ def new_digits(items: Column, key: str) -> Column:
 def name_surrogate(text: Column, key: str) -> Column:
     """Title and particles kept; a given name of the same gender and script for each word but the last, and a family name
     for the last. Each word holds 64 bits of a hash in its syllables, so that words stay different, and so do whole names."""
-    words = F.split(F.regexp_replace(text, rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? ", ""), " ")
-    title = F.regexp_extract(text, rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? ", 0)
-    cyrillic = text.rlike(r"\p{IsCyrillic}")
-    female_title = title.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\b")
-    female = female_title | ((title == "") & F.get(words, F.lit(0)).rlike(rf"^(?:{names.pattern_of(names.FEMALE.split())})(?!\p{{L}})"))
+    titles = rf"^(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
     nth = lambda some, h, i: F.get(F.array(*map(F.lit, some)), F.conv(F.substring(h, i, F.lit(1)), 16, 10).cast("int"))
 
     def made(syllables: tuple[list[str], list[str]], h: Column) -> Column:
         return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(SYLLABLES)), lambda i: F.concat(nth(syllables[0], h, 2 * i - 1), nth(syllables[1], h, 2 * i))), "")
 
-    def given(word: Column) -> Column:
-        h = keyed(f"{key}/given", word)
-        drawn_out = lambda pool: F.concat(nth(pool.begins, h, F.lit(2 * SYLLABLES + 1)), made(pool.syllables, h))
-        return F.when(word.isin(*PARTICLES), word).when(cyrillic & female, drawn_out(CYRILLIC_FEMALE)).when(cyrillic, drawn_out(CYRILLIC_MALE)).when(female, drawn_out(LATIN_FEMALE)).otherwise(drawn_out(LATIN_MALE))
+    def renamed(x: Column) -> Column:
+        words, cyrillic = x["words"], x["cyrillic"]
+        female_title = x["title"].rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})\b")
+        female_name = F.get(words, F.lit(0)).rlike(rf"^(?:{names.pattern_of(names.FEMALE.split())})(?!\p{{L}})")
+        last = F.size(words) - 1
+
+        def given(word: Column) -> Column:
+            h = keyed(f"{key}/given", word)
+            drawn_out = lambda pool: F.concat(nth(pool.begins, h, F.lit(2 * SYLLABLES + 1)), made(pool.syllables, h))
+            female = female_title | ((x["title"] == "") & female_name)
+            return F.when(word.isin(*PARTICLES), word).when(cyrillic & female, drawn_out(CYRILLIC_FEMALE)).when(cyrillic, drawn_out(CYRILLIC_MALE)).when(female, drawn_out(LATIN_FEMALE)).otherwise(drawn_out(LATIN_MALE))
+
+        def family(word: Column) -> Column:
+            h = keyed(f"{key}/family", word)
+            return F.initcap(F.when(cyrillic, made(CYRILLIC_SYLLABLES, h)).otherwise(made(LATIN_SYLLABLES, h)))
 
-    def family(word: Column) -> Column:
-        h = keyed(f"{key}/family", word)
-        return F.initcap(F.when(cyrillic, made(CYRILLIC_SYLLABLES, h)).otherwise(made(LATIN_SYLLABLES, h)))
+        return F.concat(x["title"], F.array_join(F.transform(words, lambda word, i: F.when(i < last, given(word)).otherwise(family(word))), " "))
 
-    return F.concat(title, F.array_join(F.transform(words, lambda word, i: F.when(i < F.size(words) - 1, given(word)).otherwise(family(word))), " "))
+    parts = F.struct(F.regexp_extract(text, titles, 0).alias("title"), F.split(F.regexp_replace(text, titles, ""), " ").alias("words"), text.rlike(r"\p{IsCyrillic}").alias("cyrillic"))
+    return F.get(F.transform(F.array(parts), renamed), F.lit(0))
 
 
 def surrogates(entities: Column, key: str) -> Column:
@@ -229,25 +267,23 @@ def surrogates(entities: Column, key: str) -> Column:
     def parts(x: Column) -> Column:
         d = digits_of(x["text"])
         code = F.regexp_extract(x["text"], r"^\+(\d{1,3})", 1)
-        kept = F.when(x["kind"] == "card", 1).when((x["kind"] == "phone") & x["text"].startswith("+"), F.length(code) + 1).when(x["kind"].isin("phone", "ssn"), 1).otherwise(0)
+        kept = F.when(x["kind"] == "card", 1).when(x["kind"] == "phone", F.length(code)).otherwise(0)
         number = x["kind"].isin("card", "phone", "ssn")
         body = F.when(x["kind"] == "card", F.substring(d, kept + 1, F.length(d) - 2)).when(number, F.substring(d, kept + 1, F.length(d))).otherwise(F.lit(""))
-        head = F.when(number, F.substring(d, F.lit(1), kept)).when(x["kind"] == "ip", F.get(F.split(x["text"], r"\."), F.lit(0))).otherwise(F.lit(""))
+        head = F.when(number, F.substring(d, F.lit(1), kept)).otherwise(F.lit(""))
         return F.struct(x["kind"].alias("kind"), x["text"].alias("text"), head.alias("head"), body.alias("body"))
 
     def write(x: Column) -> Column:
         text, kind = x["text"], x["kind"]
         body = F.concat(x["head"], F.lpad(x["a"].cast("string"), x["na"], F.lit("0")), F.lpad(x["b"].cast("string"), x["nb"], F.lit("0")))
         check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-        tail = x["a"] * 4096 + x["b"]
-        ip = F.concat_ws(".", x["head"], F.shiftright(tail, 16).cast("string"), (F.shiftright(tail, 8) % 256).cast("string"), (tail % 256).cast("string"))
-        value = F.regexp_extract(text, VALUE, 0)
-        h = keyed(key, kind, identity(text, kind))
-        domain = letters(F.substring(keyed(f"{key}/domain", F.lower(F.substring_index(text, "@", -1))), 1, 10))
-        email = F.concat(letters(F.substring(h, 1, 20)), F.lit("@"), domain, F.lit(".example"))
-        access = F.concat(F.substring(text, 1, 4), F.upper(letters(F.substring(h, 1, 16))))
-        long_hash = F.substring(F.repeat(h, F.ceil(F.length(value) / 64).cast("int")), F.lit(1), F.greatest(F.lit(16), F.length(value)))
-        secret = F.concat(F.regexp_replace(text, VALUE, ""), F.when(value.rlike("^[0-9a-f]+$"), long_hash).otherwise(letters(long_hash)))
+        ip = F.concat_ws(".", *[(F.shiftright(x[side], 8) if high else x[side] % 256).cast("string") for side in "ab" for high in (True, False)])
+        value, low = F.regexp_extract(text, VALUE, 0), F.lower(text)
+        domain, last = F.substring_index(low, "@", -1), F.substring_index(low, ".", -1)
+        host = F.substring(domain, F.lit(1), F.length(domain) - F.length(last) - 1)
+        email = F.concat(masked(F.substring_index(low, "@", 1), f"{key}/email", domain), F.lit("@"), masked(host, f"{key}/domain", last), F.lit("."), last, F.lit(".example"))
+        access = F.concat(F.substring(text, 1, 4), masked(F.substring(text, F.lit(5), F.length(text)), f"{key}/access", F.substring(text, 1, 4)))
+        secret = F.concat(F.regexp_replace(text, VALUE, ""), masked(value, f"{key}/secret"))
         number = refit(text, F.when(kind == "card", F.concat(body, check)).otherwise(body))
         return F.when(kind.isNull(), text).when(kind == "email", email).when(kind == "key", access).when(kind == "secret", secret).when(kind == "ip", ip).when(kind == "name", name_surrogate(text, key)).otherwise(number)
 
@@ -262,7 +298,7 @@ def sound_key(docs: DataFrame, text_col: str, key: str) -> str:
     """The first of the keys made from key under which no two different entities of the corpus share a surrogate.
 
     Distinct entities and surrogates are counted by groups; no entity comes to the driver. Numbers are permuted and need
-    no check. Of names the whole surrogate is compared, of the others the value.
+    no check. Of names and addresses the whole surrogate is compared, of secrets the value.
     """
     entities = docs.select(F.explode(found_entities(F.col(f"`{text_col}`"))).alias("e")).distinct()
     hashed = entities.withColumn("kind", kind_of(F.col("e"))).filter(F.col("kind").isin("email", "key", "secret", "name"))
@@ -272,7 +308,7 @@ def sound_key(docs: DataFrame, text_col: str, key: str) -> str:
         tried = f"{key}/{i}"
         made = hashed.select("kind", "who", F.get(surrogates(F.array("e"), tried), F.lit(0)).alias("s"))
         made = made.withColumn("s", F.when(F.col("kind") == "name", F.col("s")).otherwise(F.regexp_extract("s", VALUE, 0)))
-        if made.groupBy("s").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).filter("lo <> hi").isEmpty():
+        if made.groupBy("kind", "s").agg(F.min("who").alias("lo"), F.max("who").alias("hi")).filter("lo <> hi").isEmpty():
             return tried
     raise ValueError(f"all of {MAX_KEYS} keys give two entities one surrogate")
 
