@@ -9,15 +9,14 @@ A unit's vector is its kernel with the landmarks, times the inverse square root
 machine is trained on these vectors. As the kernel is a product of sparse subsequence counts, machine, landmarks and root
 multiply out to one weight for each subsequence, which is how whole corpora are scored.
 
-A document is as toxic as its most toxic unit. So training is on bags: units of clean sentences are all negative, of each
-toxic document those that rank highest so far are positive.
+A document is as toxic as its most toxic unit. Training is on labelled sentences, which carry their document's label:
+units of clean sentences are all negative; of each toxic document those that the machine so far ranks highest are positive.
 """
 
 from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -34,19 +33,20 @@ from foliant.llm.shingles import shingle_set
 #: Weight of each place that a subsequence takes, and most places; letters of a unit that are compared at once.
 DECAY, STRETCH, WIDEST = 0.5, 7, 20
 #: Labelled rows for training, toxic and clean, and their longest text; landmarks; negative units in a round.
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 1500, 3000, 20_000, 200, 6000
+TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS, LANDMARKS, NEGATIVES = 1500, 3000, 20_000, 400, 6000
 #: Words whose margins are worked out at once; bounds the memory.
 AT_ONCE = 20_000
+#: Texts beyond which a unit that they share counts no more in training.
+ENOUGH = 10
 #: Rounds of training on bags; steps of the solver; weight of the regulariser.
-ROUNDS, STEPS, REGULAR = 4, 12, 1e-5
+ROUNDS, STEPS, REGULAR = 8, 30, 1e-5
 #: Classes of letters: a to z, the begin of a unit, and the rest hashed to the others; 0 is no letter.
 CLASSES, BEGIN, FIRST_OTHER = 48, 27, 28
-#: Letters of the stems of which training finds its first insults; error rate of that search; least share of toxic texts.
-STEMS, ERROR, PURE = (4, 5, 6, 7), 0.01, 0.9
 #: Score at or above which a document is predicted to be toxic.
 THRESHOLD = 0.7
 
 _SPELT = re.compile(r"(?:^|(?<=\s))\S(?:\s\S){2,}(?=\s|$)")
+_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 # Figures and signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 
@@ -204,84 +204,85 @@ def unlike(texts: list[str]) -> list[str]:
 
 
 def squared_hinge(x: np.ndarray, y: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """The linear machine (weights, then bias) of the least squared hinge loss, by Newton steps."""
+    """The linear machine (weights, then bias) of the least squared hinge loss, by Newton steps that are halved until the
+    loss falls."""
     x = np.hstack([x, np.ones((len(x), 1))])
     keep = REGULAR * np.eye(x.shape[1])
     keep[-1, -1] = 0.0
+    loss = lambda w: float((share * np.maximum(0.0, 1 - y * (x @ w)) ** 2).sum() + w @ keep @ w)
     w = np.zeros(x.shape[1])
+    now = loss(w)
     for _ in range(STEPS):
         inside = y * (x @ w) < 1
         some, weight = x[inside], share[inside]
         new = np.linalg.solve((some * weight[:, None]).T @ some + keep + 1e-9 * np.eye(len(w)), some.T @ (weight * y[inside]))
-        if np.allclose(new, w, atol=1e-6):
+        step, then = 1.0, loss(new)
+        while then > now and step > 1e-3:
+            step /= 2
+            then = loss(w + step * (new - w))
+        if now - then < 1e-6 * now:
             break
-        w = new
+        w, now = w + step * (new - w), then
     return w
 
 
-def marked_stems(words: list[str], bags: list[np.ndarray], clean_bags: list[np.ndarray]) -> set[str]:
-    """The words and word stems that toxic texts have more often than chance would give to any stem of all. Bags hold
-    places in words."""
-    number: dict[str, int] = {}
-    stems_of = np.zeros((len(words), len(STEMS) + 1), np.int32)  # 0: a stem that no toxic text has
-    in_toxic = np.zeros(len(words), bool)
-    for bag in bags:
-        in_toxic[bag] = True
-    for w in np.flatnonzero(in_toxic):
-        for k, s in enumerate((words[w], *(words[w][:n] for n in STEMS if len(words[w]) > n))):
-            stems_of[w, k] = number.setdefault(s, len(number) + 1)
-    for w in np.flatnonzero(~in_toxic):
-        for k, s in enumerate((words[w], *(words[w][:n] for n in STEMS if len(words[w]) > n))):
-            stems_of[w, k] = number.get(s, 0)
-    bad, good = np.zeros(len(number) + 1, np.int64), np.zeros(len(number) + 1, np.int64)
-    for counts, some in ((bad, bags), (good, clean_bags)):
-        for bag in some:
-            counts[np.unique(stems_of[bag])] += 1
-    share, least = len(bags) / (len(bags) + len(clean_bags)), np.log(len(number) / ERROR)
-    out = set()
-    for stem, at in number.items():
-        n, clean = int(bad[at]), int(good[at])
-        pure = n / (n + clean)
-        if len(stem) > 2 and pure >= PURE and n > 2:
-            rest = (1 - pure) * np.log((1 - pure) / (1 - share)) if pure < 1 else 0.0
-            if (n + clean) * (pure * np.log(pure / share) + rest) > least:
-                out.add(stem)
+def letters_of(words: list[str]) -> list[bytes]:
+    """Each word's classes of letters; words that differ in signs alone have the same."""
+    letters, whose, (begin, stop) = windows(words)
+    out = [b""] * len(words)
+    for w, a, b in zip(whose.tolist(), begin, stop):
+        out[w] += letters[a:b].astype(np.uint8).tobytes()
     return out
 
 
+def sentences_of(text: str) -> list[set[str]]:
+    """The units of each sentence."""
+    return [found for part in _SENTENCE.split(text.lower()) if (found := units(part))]
+
+
 def train(toxic: list[str], clean: list[str], seed: int = 1) -> Machine:
-    """Train on texts of both classes; with none of one class the machine finds nothing toxic.
+    """Train on the sentences of texts of both classes, which carry their text's label; with none of one class the machine
+    finds nothing toxic.
 
-    The first positives are units of toxic texts that clean ones never have, more often than chance would make any of
-    all units; later ones are what the machine ranks above its border in toxic texts."""
+    All sentences of clean texts are clean, but of a toxic text's only some are toxic (Andrews et al. 2003). At first every
+    unit that clean sentences never have stands for the sentences that have it, and counts more the more toxic texts share
+    it; then each toxic text elects its most toxic sentence, by the machine so far, and that sentence's most toxic unit."""
     rng = np.random.default_rng(seed)
     toxic, clean = unlike(toxic), unlike(clean)
-    number: dict[str, int] = {}  # bags are arrays of words' numbers, which take little of the driver's memory
-    every_bag, every_clean = ([np.array([number.setdefault(w, len(number)) for w in units(t.lower())], np.int32) for t in some] for some in (toxic, clean))
-    words, bags, clean_bags = list(number), [b for b in every_bag if len(b)], [b for b in every_clean if len(b)]
-    of_bad, of_good = (np.bincount(np.concatenate([np.zeros(0, np.int32), *some]), minlength=len(words)) for some in (bags, clean_bags))
-    bad, good = ({words[w]: int(n[w]) for w in np.flatnonzero(n)} for n in (of_bad, of_good))
-    if not bags or not good:
+    number: dict[str, int] = {}  # sentences are arrays of units' numbers, which take little of the driver's memory
+    numbered = lambda t: [np.array(sorted(number.setdefault(w, len(number)) for w in sorted(some)), np.int32) for some in sentences_of(t)]
+    bad_texts, good_texts = ([numbered(t) for t in some] for some in (toxic, clean))
+    words, n_words = list(number), len(number)
+    none = np.zeros(0, np.int32)
+    of_texts = lambda texts: [np.unique(np.concatenate([none, *t])) for t in texts]
+    bad_bags, good_bags = of_texts(bad_texts), of_texts(good_texts)
+    bad, good = (np.bincount(np.concatenate([none, *bags]), minlength=n_words) for bags in (bad_bags, good_bags))
+    if not bad.any() or not good.any():
         return Machine(np.zeros(CLASSES**3, np.float32), -1.0, 1.0, -3.0)
-    stems = marked_stems(words, bags, clean_bags)
-    chosen = sorted(w for w in bad if w not in good and (w in stems or any(w[:n] in stems for n in STEMS)))
-    if not chosen:
-        chosen = [max(bad, key=lambda w: (bad[w] - good.get(w, 0), w))]
-    first = chosen
-    every, suspects = sorted(good), sorted(w for w in bad if w not in good)
-    hard: list[str] = []
-    for turn in range(ROUNDS):
-        marked = sorted(chosen, key=lambda w: (-bad[w], w))
-        marked = marked[: LANDMARKS // 4] + [marked[i] for i in rng.choice(len(marked), min(LANDMARKS // 4, len(marked)), replace=False)]
-        usual = [every[i] for i in rng.choice(len(every), min(LANDMARKS // 4, len(every)), replace=False)]
-        used, land, row_of = used_counts(list(dict.fromkeys(marked + hard[: LANDMARKS // 4] + usual)))
+    every, suspects = np.flatnonzero(good), np.flatnonzero((bad > 0) & (good == 0))
+    if not len(suspects):
+        suspects = np.flatnonzero(bad)
+    letters = letters_of(words)
+    shared = suspects[bad[suspects] > 1]
+    elected = {int(w): float(bad[w]) for w in (shared if len(shared) else suspects)}  # units that stand for toxic sentences, and texts that say so
+    hard = none
+    for _ in range(ROUNDS):
+        ranked = sorted(elected, key=lambda w: (-elected[w], words[w]))
+        unlike_letters: dict[bytes, int] = {}
+        for u in ranked:
+            if len(letters[u]) > 2:
+                unlike_letters.setdefault(letters[u], u)
+        marked = list(unlike_letters.values())[: LANDMARKS // 2]
+        usual = rng.choice(every, min(LANDMARKS // 4, len(every)), replace=False)
+        used, land, row_of = used_counts([words[w] for w in dict.fromkeys([*marked, *hard[: LANDMARKS // 4].tolist(), *usual.tolist()])])
         values, vectors = np.linalg.eigh(land.T @ land)
         maps = land @ (vectors / np.sqrt(np.maximum(values, 1e-4))).astype(np.float32)  # a unit's vector: its counts times this
-        positive = [chosen[i] for i in rng.choice(len(chosen), min(NEGATIVES // 2, len(chosen)), replace=False)]
-        often = np.array([np.log1p(bad[w]) + 1.0 for w in positive])
-        negative = [every[i] for i in rng.choice(len(every), min(NEGATIVES, len(every)), replace=False)] + hard
-        x = project([*positive, *(with_letters_put_in(w, rng) for w in positive), *negative], maps, row_of).astype(np.float64)
-        share = np.concatenate([often, 0.3 * often, np.ones(len(negative))])
+        positive = ranked[: NEGATIVES // 2]
+        often = np.minimum([elected[w] for w in positive], ENOUGH) ** 2
+        negative = np.concatenate([rng.choice(every, min(NEGATIVES, len(every)), replace=False), hard])
+        put_in = [with_letters_put_in(words[w], rng) for w in positive]
+        x = project([*(words[w] for w in positive), *put_in, *(words[w] for w in negative)], maps, row_of).astype(np.float64)
+        share = np.concatenate([often, 0.3 * often, np.minimum(good[negative], ENOUGH)])
         y = np.where(np.arange(len(x)) < 2 * len(positive), 1.0, -1.0)
         for side in (y > 0, y < 0):
             share[side] *= 0.5 / share[side].sum()
@@ -289,12 +290,21 @@ def train(toxic: list[str], clean: list[str], seed: int = 1) -> Machine:
         weights = np.zeros(CLASSES**3, np.float32)
         weights[used] = (maps @ w[:-1])[1:]
         machine = Machine(weights, float(w[-1]))
-        of_suspects, of_good = machine.margins(suspects), machine.margins(every)
-        border = max(0.2, float(np.quantile(of_good, 1 - 1e-4)))
-        chosen = sorted({*first, *(w for w, m in zip(suspects, of_suspects) if m > border)})
-        hard = [every[i] for i in np.argsort(-of_good, kind="stable")[: NEGATIVES // 3]]
-    of_words = machine.margins(words)
-    margins = np.array([of_words[b].max() if len(b) else machine.bias for b in (*every_bag, *every_clean)], np.float64)
+        of_words = machine.margins(words)
+        votes: dict[int, float] = {}
+        suspected = np.zeros(n_words, bool)
+        suspected[suspects] = True
+        for bag in bad_bags:
+            some = bag[suspected[bag]]
+            for u in some[of_words[some] > 0].tolist():
+                votes[u] = votes.get(u, 0.0) + 1.0
+            if len(some):
+                top = int(some[of_words[some].argmax()])
+                votes[top] = votes.get(top, 0.0) + 1.0
+        elected = {u: n for u, n in votes.items() if n > 1} or votes
+        closest = every[np.argsort(-of_words[every], kind="stable")[: NEGATIVES // 3]]
+        hard = np.array(list(dict.fromkeys([*closest.tolist(), *hard.tolist()])), np.int64)[:NEGATIVES]
+    margins = np.array([of_words[b].max() if len(b) else machine.bias for b in (*bad_bags, *good_bags)], np.float64)
     machine.slope, machine.offset = calibrate(margins, np.arange(len(margins)) < len(toxic))
     return machine
 
