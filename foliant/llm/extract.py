@@ -10,6 +10,7 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html.parser import HTMLParser
@@ -32,52 +33,117 @@ LABEL_PAGES, LABEL_BLOCKS = 128, 60_000
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe svg textarea select".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
-CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset(["option"])}
+BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+CELLS = frozenset("td th tr".split())
+CLOSED_BY = {"p": BLOCKS, "li": frozenset(["li"]), "td": CELLS, "th": CELLS, "tr": frozenset(["tr"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset(["option"])}
+# Fixed values of HTML: what an element that closes others does not look beyond.
+WITHIN = {"li": frozenset("ul ol table td th".split()), "dt": frozenset("dl table td th".split()), "dd": frozenset("dl table td th".split()), "td": frozenset(["table"]), "th": frozenset(["table"]), "tr": frozenset(["table"])}
+WITHIN_BLOCK = frozenset("table td th caption button object".split())
 _NAME = re.compile(r"[a-z0-9]+")
 
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    """path: the buckets that the names of all elements around have, a bit each; leaf: the tag of the innermost; depth: how
+    many elements are around; linked: characters of the text in links."""
+
+    path: int
+    leaf: str
+    depth: int
     text: str
     linked: int
 
 
+class Path:
+    """The elements that are open, and the buckets of their names; each is counted, so what a block costs does not grow with
+    how deep it is."""
+
+    def __init__(self, elements: tuple[str, ...] = ()):
+        self.names: list[str] = []
+        self.counts, self.bits = [0] * PATH_DIM, 0
+        for name in elements:
+            self.push(name)
+
+    def push(self, name: str) -> None:
+        self.names.append(name)
+        for token in set(name.split(" ")):
+            bucket = _hash(token) % PATH_DIM
+            self.counts[bucket] += 1
+            self.bits |= 1 << bucket
+
+    def pop(self) -> None:
+        for token in set(self.names.pop().split(" ")):
+            bucket = _hash(token) % PATH_DIM
+            self.counts[bucket] -= 1
+            if not self.counts[bucket]:
+                self.bits ^= 1 << bucket
+
+    def block(self, text: str, linked: int, inside: tuple[str, ...] = ()) -> Block:
+        """A block here, within the inline elements named."""
+        bits = self.bits
+        for name in inside:
+            for token in name.split(" "):
+                bits |= 1 << _hash(token) % PATH_DIM
+        return Block(bits, self.names[-1].split(" ")[0] if self.names else "", len(self.names), text, linked)
+
+
 class Blocks(HTMLParser):
     """The leaf blocks of a page in order, whatever its markup; character references are decoded."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str]] = []
+        self.path, self.inline, self.open = Path(), [], Counter()
         self.parts: list[str] = []
+        self.inside: tuple[str, ...] | None = None
         self.linked, self.raw, self.blocks = 0, 0, []
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.blocks.append(Block(tuple(name for tag, name in self.stack if tag not in INLINE), text, self.linked))
-        self.parts, self.linked = [], 0
+            self.blocks.append(self.path.block(text, self.linked, self.inside or ()))
+        self.parts, self.linked, self.inside = [], 0, None
 
     def handle_starttag(self, tag, attrs):
         if tag not in INLINE and tag not in RAW:
             self.flush()
-            while self.stack and any(tag in CLOSED_BY.get(t, ()) for t, _ in self.stack[-4:] if t in CLOSED_BY) and self._pop_to(next((t for t, _ in reversed(self.stack[-4:]) if tag in CLOSED_BY.get(t, ())), "")):
-                pass
+            self.close_implied(tag)
         elif tag == "br":
             self.parts.append(" ")
         if tag in VOID:
             return
         said = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role")}
-        self.stack.append((tag, " ".join([tag, *_NAME.findall(" ".join(said.values()))])))
+        name = " ".join([tag, *_NAME.findall(" ".join(said.values()))])
+        self.stack.append((tag, name))
+        self.open[tag] += 1
+        if tag in INLINE:
+            self.inline.append(name)
+        else:
+            self.path.push(name)
         self.raw += tag in RAW
 
-    def _pop_to(self, tag: str) -> bool:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.raw -= sum(t in RAW for t, _ in self.stack[i:])
-                del self.stack[i:]
-                return True
-        return False
+    def close_implied(self, tag: str) -> None:
+        """Close the elements that this one ends, innermost first, as far as it looks."""
+        limits = WITHIN.get(tag, WITHIN_BLOCK)
+        closed = [t for t, by in CLOSED_BY.items() if tag in by]
+        i = len(self.stack) - 1
+        while i >= 0 and any(self.open[t] for t in closed):
+            t = self.stack[i][0]
+            if t in closed:
+                self.pop_to(i)
+            elif t in limits:
+                return
+            i -= 1
+
+    def pop_to(self, i: int) -> None:
+        while len(self.stack) > i:
+            tag, _ = self.stack.pop()
+            self.open[tag] -= 1
+            self.raw -= tag in RAW
+            if tag in INLINE:
+                self.inline.pop()
+            else:
+                self.path.pop()
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -87,12 +153,16 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if tag not in INLINE and tag not in RAW:
             self.flush()
-        self._pop_to(tag)
+        if self.open[tag]:
+            self.pop_to(next(i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag))
 
     def handle_data(self, data):
         if not self.raw:
             self.parts.append(data)
-            if any(t == "a" for t, _ in self.stack):
+            if not data.isspace():
+                around = tuple(name for name in self.inline if " " in name)
+                self.inside = around if self.inside is None else tuple(name for name in self.inside if name in around)
+            if self.open["a"]:
                 self.linked += len(data)
 
 
@@ -110,18 +180,18 @@ def _hash(token: str) -> int:
 
 
 def features(blocks: list[Block]) -> np.ndarray:
+    """A row for each block: the buckets of its whole path and of its innermost tag, of all its words, and sizes."""
     out = np.zeros((len(blocks), PATH_DIM + WORD_DIM + SIZE_DIM), np.float32)
+    if not blocks:
+        return out
+    packed = b"".join((b.path | 1 << _hash(f"<{b.leaf}") % PATH_DIM).to_bytes(PATH_DIM // 8, "little") for b in blocks)
+    out[:, :PATH_DIM] = np.unpackbits(np.frombuffer(packed, np.uint8).reshape(len(blocks), -1), axis=1, bitorder="little")
     for row, (at, block) in zip(out, enumerate(blocks)):
-        for depth, name in enumerate(reversed(block.path[-8:])):
-            tag, *said = name.split(" ")
-            for token in (tag, *said, *([f"<{tag}"] if depth == 0 else [])):
-                row[_hash(token) % PATH_DIM] = 1.0
         words = block.text.lower().split()
-        for w in words[:: max(1, len(words) // 64)]:
-            row[PATH_DIM + _hash("w" + w) % WORD_DIM] += 1.0
-        row[PATH_DIM : PATH_DIM + WORD_DIM] /= max(1.0, float(np.linalg.norm(row[PATH_DIM : PATH_DIM + WORD_DIM])))
+        counts = np.bincount([_hash("w" + w) % WORD_DIM for w in words], minlength=WORD_DIM)
+        row[PATH_DIM : PATH_DIM + WORD_DIM] = counts / max(1.0, float(np.sqrt((counts * counts).sum())))
         n = len(block.text)
-        row[PATH_DIM + WORD_DIM :] = (np.log1p(n) / 6, np.log1p(len(words)) / 5, block.linked / n if n else 0.0, sum(c in ".,;:!?" for c in block.text[-3:]) / 3, at / max(1, len(blocks) - 1), "©" in block.text, len(block.path) / 8, any("h1" == p.split(" ")[0] for p in block.path[-1:]))
+        row[PATH_DIM + WORD_DIM :] = (np.log1p(n) / 6, np.log1p(len(words)) / 5, block.linked / n if n else 0.0, sum(c in ".,;:!?" for c in block.text[-3:]) / 3, at / max(1, len(blocks) - 1), "©" in block.text, np.log1p(block.depth) / 3, block.leaf == "h1")
     return out
 
 
@@ -220,8 +290,10 @@ def made_page(rng: np.random.Generator) -> list[tuple[Block, bool]]:
     words = lambda n: [word()] * n if rng.random() < 0.08 else [word() for _ in range(n)]
     sentence = lambda n: (" ".join(words(n)) + pick([".", ".", ".", "", "!", "?"])).capitalize()
     named = lambda spec: " ".join(_NAME.findall(re.sub(r"(class|id|role)=", "", spec)))
-    wraps = tuple(named(pick(["div", "div class=wrapper", "div class=container", "div id=page", "section", "div class=row"])) for _ in range(int(rng.integers(0, 3))))
-    top, out = ("html", "body"), [(Block(("html", "head", "title"), sentence(6), 0), False)]
+    wrapping = lambda n: tuple(named(pick(["div", "div class=wrapper", "div class=container", "div id=page", "section", "div class=row", "div class=col", "div class=inner"])) for _ in range(n))
+    wraps = wrapping(int(rng.integers(0, 3)) if rng.random() < 0.75 else int(rng.integers(3, 30)))
+    below = wrapping(int(rng.integers(1, 12))) if rng.random() < 0.2 else ()  # between the article, or what is around it, and its blocks
+    top, out = ("html", "body"), [(Path(("html", "head", "title")).block(sentence(6), 0), False)]
 
     def around(path: tuple[str, ...], spec: str) -> None:
         inner = pick([("ul", "li"), ("p",), ("div",), (), ("li",), ("span",), ("h3",), ("ul", "li")])
@@ -230,20 +302,24 @@ def made_page(rng: np.random.Generator) -> list[tuple[Block, bool]]:
             if "footer" in spec and rng.random() < 0.6:
                 text = "© " + text
             linked = len(text) if rng.random() < (0.85 if "li" in inner else 0.25) else 0
-            out.append((Block((*path, named(spec), *inner), text, linked), False))
+            tag, *said = named(spec).split(" ")
+            if said and not inner and rng.random() < 0.3:  # the name on an inline element around the whole text
+                out.append((Path((*path, *below, tag)).block(text, linked, (" ".join(["span", *said]),)), False))
+            else:
+                out.append((Path((*path, named(spec), *below, *inner)).block(text, linked), False))
 
     for _ in range(int(rng.integers(0, 4))):
         around((*top, *wraps[: int(rng.integers(0, len(wraps) + 1))]), pick(AROUND))
     body = (*top, *wraps, named(pick(ARTICLE)))
     if rng.random() < 0.85:
-        out.append((Block((*body, "h1"), sentence(int(rng.integers(1, 12))), 0), True))
+        out.append((Path((*body, *below, "h1")).block(sentence(int(rng.integers(1, 12))), 0), True))
     for _ in range(int(rng.integers(1, 24))):
         if rng.random() < 0.06:
             around(body, pick(INSIDE))
         inner = pick([("p",)] * 12 + [("h2",), ("h3",), ("ul", "li"), ("blockquote", "p"), ("pre",), (), ("table", "tr", "td"), ("div",), ("section", "p")])
         text = sentence(int(rng.integers(1, 4)) if rng.random() < 0.15 else int(rng.integers(4, 120)))
         linked = int(len(text) * rng.random() * 0.3) if rng.random() < 0.2 else len(text) if rng.random() < 0.02 else 0
-        out.append((Block((*body, *inner), text, linked), True))
+        out.append((Path((*body, *below, *inner)).block(text, linked), True))
     for _ in range(int(rng.integers(0, 5))):
         around((*top, *wraps[: int(rng.integers(0, len(wraps) + 1))]), pick(AROUND))
     return out
