@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm import bpe, decontam, dedup, langid, pii
 from foliant.llm.common import stored, table
-from foliant.llm.queries import LANGUAGES, PII_KEY
+from foliant.llm.queries import LANGUAGES, pii_key
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for the personal data in their texts."""
-    return pii.replace_pii(docs, PII_KEY).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return pii.replace_pii(docs, pii_key(spark)).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

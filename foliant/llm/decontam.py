@@ -12,17 +12,17 @@ from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
-import pyarrow.dataset as ds
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bound_batches, only, scratch_path
+from foliant.llm.common import bound_batches, only, stored
 
 #: Characters of an item for each edit that is allowed.
 CHARS_PER_EDIT = 12
-#: Items whose pieces are searched for at once.
-ITEM_BLOCK = 20_000
+#: Characters of items whose pieces are searched for at once; bounds the memory of driver and workers.
+BLOCK_CHARS = 2_000_000
+#: Windows whose distances a matcher keeps, as a passage that many texts share is met again and again.
+KEPT_WINDOWS = 20_000
 
 
 def plain(text: str | None) -> str:
@@ -89,6 +89,7 @@ class Matcher:
         if places:
             self.automaton.make_automaton()
         self.empty = not places
+        self.known: dict[tuple[int, str], int | None] = {}
 
     def find(self, text: str | None) -> list[tuple[int, int]]:
         """(item_id, least edits) of the items that occur in the text within their budgets."""
@@ -103,32 +104,37 @@ class Matcher:
             item_id, m, budget, masks = self.items[item]
             if start + m + budget <= 0 or start + budget + m > len(text) + 2 * budget:
                 continue
-            edits = least_edits(masks, m, text[max(0, start - budget) : start + m + budget], found.get(item, budget))
+            window = (item, text[max(0, start - budget) : start + m + budget])
+            if window not in self.known:
+                if len(self.known) >= KEPT_WINDOWS:
+                    self.known.clear()
+                self.known[window] = least_edits(masks, m, window[1], budget)
+            edits = self.known[window]
             if edits is not None:
-                found[item] = edits
+                found[item] = min(edits, found.get(item, edits))
         return sorted((self.items[i][0], edits) for i, edits in found.items())
 
 
-@functools.lru_cache(maxsize=2)
-def matcher(path: str, block: int, chars_per_edit: int) -> Matcher | None:
-    store, top = fs.FileSystem.from_uri(path)
-    for i, batch in enumerate(ds.dataset(top, filesystem=store, format="parquet").to_batches(batch_size=ITEM_BLOCK)):
-        if i == block:
-            return Matcher(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), chars_per_edit)
-    return None
+@functools.lru_cache(maxsize=1)
+def matcher(items: tuple[tuple[int, str], ...], chars_per_edit: int) -> Matcher:
+    """One matcher for all tasks of a worker that search for the same items."""
+    return Matcher(list(items), chars_per_edit)
 
 
-def matchers(path: str, chars_per_edit: int) -> Iterator[Matcher]:
-    block = 0
-    while (found := matcher(path, block, chars_per_edit)) is not None:
-        yield found
-        block += 1
-
-
-def _stored_items(benchmark: DataFrame) -> str:
-    path = scratch_path(benchmark.sparkSession, "benchmark")
-    only(benchmark, "item_id", "text").select(F.col("item_id").cast("long"), F.col("text").cast("string")).coalesce(1).write.parquet(path)
-    return path
+def item_blocks(benchmark: DataFrame) -> Iterator[tuple[tuple[int, str], ...]]:
+    """The items that have an id and a text, in blocks of BLOCK_CHARS characters or one longer item; at least one block. The
+    driver reads them partition by partition and holds one block."""
+    block: list[tuple[int, str]] = []
+    size = made = 0
+    rows = benchmark.select(F.col("`item_id`").cast("long").alias("id"), F.col("`text`").cast("string").alias("text"))
+    for item_id, text in rows.filter("id IS NOT NULL AND text IS NOT NULL").toLocalIterator():
+        if block and size + len(text) > BLOCK_CHARS:
+            yield tuple(block)
+            block, size, made = [], 0, made + 1
+        block.append((item_id, text))
+        size += len(text)
+    if block or not made:
+        yield tuple(block)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
@@ -136,32 +142,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     chars_per_edit characters.
 
     Null or blank texts hold nothing; items without an id or text are in nothing; a row that repeats gives its pairs
-    again. Items are read from the shared folder in blocks, so the benchmark is neither gathered nor broadcast.
+    again. Texts are read once for each block of items, which goes to the tasks with their code; nothing is shuffled.
     """
     bound_batches(docs.sparkSession)
-    path = _stored_items(benchmark)
+    kind = docs.schema[id_col].dataType.simpleString()
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for one in matchers(path, chars_per_edit):
-                rows = [(i, *hit) for i, text in enumerate(texts) for hit in one.find(text)]
-                at, items, edits = zip(*rows) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(items, pa.int64()), pa.array(edits, pa.int32())], ["id", "item_id", "distance"])
+    def found(items: tuple[tuple[int, str], ...]) -> DataFrame:
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one = matcher(items, chars_per_edit)
+            for batch in batches:
+                rows = [(i, *hit) for i, text in enumerate(batch.column(1).to_pylist()) for hit in one.find(text)]
+                at, ids, edits = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(ids, pa.int64()), pa.array(edits, pa.int32())], ["id", "item_id", "distance"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return only(docs, id_col, text_col).mapInArrow(search, f"id {kind}, item_id long, distance int").withColumnRenamed("id", id_col)
+        return only(docs, id_col, text_col).mapInArrow(search, f"id {kind}, item_id long, distance int").withColumnRenamed("id", id_col)
+
+    out = None
+    for items in item_blocks(benchmark):
+        out = found(items) if out is None else stored(out.unionByName(found(items)), "leaks")
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_per_edit: int = CHARS_PER_EDIT) -> DataFrame:
-    """The rows of docs, all columns, whose text holds no benchmark item; nothing is shuffled."""
+    """The rows of docs, all columns, whose text holds no benchmark item; nothing is shuffled. Of more than one block of items
+    each is searched for in what the one before left, stored between."""
     bound_batches(docs.sparkSession)
-    path, at = _stored_items(benchmark), docs.columns.index(text_col)
 
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for one in matchers(path, chars_per_edit):
-                batch = batch.filter(pa.array([not one.find(text) for text in batch.column(at).to_pylist()], pa.bool_()))
-            yield batch
+    def clean(items: tuple[tuple[int, str], ...]):
+        @F.arrow_udf("boolean")
+        def holds_none(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            one = matcher(items, chars_per_edit)
+            for batch in batches:
+                yield pa.array([not one.find(text) for text in batch.to_pylist()], pa.bool_())
+
+        return holds_none(F.col(f"`{text_col}`").cast("string"))
 
-    return docs.mapInArrow(clean, docs.schema)
+    out = None
+    for items in item_blocks(benchmark):
+        out = (docs if out is None else stored(out, "cleaned")).filter(clean(items))
+    return out

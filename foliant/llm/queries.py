@@ -15,46 +15,60 @@ LANGUAGES = ("en", "de", "fr", "es")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document: doc_id, language, posterior, declared and kept."""
     return langid.identify(table(spark, sf_dir, "documents"), LANGUAGES)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole document: doc_id, held_out, score and predicted."""
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page: page_id, url, text and n_chars."""
     return extract.extract(table(spark, sf_dir, "pages"))
 
 
 def op4_threshold_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest integer inner products of every hundredth vector with all others."""
     return topk.threshold_topk(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0, k=10)
 
 
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates among all documents: doc_id, n_shingles, component_id and kept."""
     return dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: The key of the surrogates; a deployment passes a secret one.
-PII_KEY = "foliant-public-key"
+#: The key of the surrogates where the session's setting PII_SETTING names none; a deployment sets a secret one.
+PII_KEY, PII_SETTING = "foliant-public-key", "spark.foliant.piiKey"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get(PII_SETTING, PII_KEY)
 
 
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+    """Every document with surrogates for the personal data in its text: doc_id and text."""
+    return pii.replace_pii(table(spark, sf_dir, "documents").select("doc_id", "text"), pii_key(spark))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in documents: doc_id, item_id and distance of each that is found."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in documents: doc_id, paragraph, family, probability and template_match of each."""
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole document: doc_id, n_tokens, and digests of the ids and of what they decode to."""
     return bpe.digest_rows(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a record of a WARC archive, read back: page_id, payload_bytes, payload_digest, record_type and refers_to."""
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -13,11 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as ds
-from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bound_batches, only, scratch_path
+from foliant.llm.common import bound_batches, only, open_store, scratch_path
 
 #: Rows in a block of vectors, and in a block of queries that is compared with it.
 BLOCK_ROWS, QUERY_ROWS = 65_536, 1024
@@ -95,7 +94,7 @@ def threshold_topk(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec
         for block in blocks(batches):
             for length, ids, values in by_length(block):
                 lists = SortedLists(ids, values)
-                store, top = fs.FileSystem.from_uri(path)
+                store, top = open_store(path)
                 for queries in ds.dataset(top, filesystem=store, format="parquet").to_batches(batch_size=QUERY_ROWS):
                     for _, query_ids, query_values in by_length(queries, length):
                         parts = [lists.best(q, own, k) for own, q in zip(query_ids, query_values)]

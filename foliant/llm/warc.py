@@ -13,14 +13,15 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bound_batches, only, scratch_path, stored
+from foliant.llm.common import bound_batches, only, open_store, scratch_path, stored
 
 #: Equal payloads of at least so many bytes are written once; the others revisit it.
 REVISIT_BYTES = 1000
+#: Records that are read back by an index at once.
+INDEX_ROWS = 10_000
 
 
 def record_plan(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
@@ -92,17 +93,16 @@ def write_archives(plan: DataFrame, folder: str) -> DataFrame:
     bound_batches(plan.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = open_store(folder)
         store.create_dir(top, recursive=True)
         name, n, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
         for batch in batches:
-            columns = [batch.column(i) for i in range(7)]
-            for row in range(batch.num_rows):
-                page_id, url, html, *rest = (c[row].as_py() for c in columns)
+            narrow = [batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6)]
+            for page_id, url, *rest, html in zip(*narrow, batch.column(2)):
                 if out is None:
                     raw = store.open_output_stream(f"{top}/{name}", compression=None)
                     out = gzip.GzipFile(fileobj=raw, mode="wb", mtime=0, filename="")
-                out.write(make_record(page_id, url, html.encode(), *rest))
+                out.write(make_record(page_id, url, html.as_buffer().to_pybytes(), *rest))
                 n += 1
         if out is not None:
             out.close()
@@ -121,12 +121,12 @@ def normalise_archives(files: DataFrame, folder: str) -> DataFrame:
     """Normalise every file into folder, its index beside it; the table of the new files (path, n)."""
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, top = fs.FileSystem.from_uri(folder)
+        store, top = open_store(folder)
         store.create_dir(top, recursive=True)
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 name = f"{uuid.uuid4().hex}.warc.gz"
-                source_store, source = fs.FileSystem.from_uri(path)
+                source_store, source = open_store(path)
                 with source_store.open_input_stream(source, compression=None) as raw, store.open_output_stream(f"{top}/{name}", compression=None) as target, store.open_output_stream(f"{top}/{name}.idx", compression=None) as index:
                     n = normalise(raw, target, index)
                 yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], ["path", "n"])
@@ -142,13 +142,13 @@ def read_archives(files: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = open_store(path)
                 with store.open_input_file(at) as raw, store.open_input_stream(f"{at}.idx", compression=None) as index:
-                    rows = []
-                    for line in index.read().decode().splitlines():
-                        offset, length, _ = line.split("\t")
-                        rows.append((*read_member(raw, int(offset), int(length)), path, int(offset)))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"])
+                    lines = index.read().decode().splitlines()
+                    for first in range(0, len(lines), INDEX_ROWS):
+                        places = [(int(offset), int(size)) for offset, size, _ in (line.split("\t") for line in lines[first : first + INDEX_ROWS])]
+                        rows = [(*read_member(raw, offset, size), path, offset) for offset, size in places]
+                        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64()))], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "path", "offset"])
 
     return each_file(files).mapInArrow(read, schema)
 

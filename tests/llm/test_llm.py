@@ -5,10 +5,12 @@ import gzip
 import hashlib
 import io
 import random
+import re
 import textwrap
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -36,13 +38,17 @@ def odd_texts():
     return ["", " ", "x" * 5000] + ["".join(rng.choice(parts) for _ in range(30)) for _ in range(300)]
 
 
-def test_bpe_equals_the_library(codec, reference_encoding):
+def test_bpe_equals_the_library(codec, reference_encoding, monkeypatch):
     texts = odd_texts()
-    lines = bpe.WordMemory(codec).lines(texts)
-    for text, line in zip(texts, lines):
+    lines = bpe.LineMemory(codec)
+    for text, ids, line in zip(texts, bpe.WordMemory(codec).texts(texts), lines.texts(texts)):
         want = reference_encoding.encode_ordinary(text)
-        assert [int(x) for x in line.split()] == want == codec.encode(text)
-        assert codec.decode(want) == text.encode()
+        assert list(ids) == want == codec.encode(text)
+        assert line == " ".join(map(str, want)) and codec.decode(want) == lines.decode(line.split()) == text.encode()
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
+    small = bpe.WordMemory(codec)
+    for i in range(0, len(texts), 7):  # what is kept and what is forgotten makes no difference
+        assert [list(ids) for ids in small.texts(texts[i : i + 7])] == [reference_encoding.encode_ordinary(t) for t in texts[i : i + 7]]
 
 
 def test_bpe_append_and_edit(codec):
@@ -167,6 +173,48 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), root(r.doc_id), root(r.doc_id) == r.doc_id)
 
 
+def test_a_large_group_of_near_copies(spark, monkeypatch):
+    """Drifting copies of one text: components equal brute force, and far fewer pairs are verified than there are."""
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 64)
+    verified = []
+    plain_check = dedup.confirmed
+    monkeypatch.setattr(dedup, "confirmed", lambda pairs, *rest: verified.append(pairs.count()) or plain_check(pairs, *rest))
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base, docs = [word() for _ in range(120)], []
+    for i in range(700):
+        copy = list(base)
+        for _ in range(rng.choice([1, 2, 3, 5, 8])):
+            copy[rng.randrange(len(copy))] = word()
+        docs.append((i, " ".join(copy)))
+    sets = {i: plain_shingles(t) for i, t in docs}
+    root = list(range(len(docs)))
+    for b in range(len(docs)):
+        for a in range(b):
+            if root[a] != root[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r.doc_id: r.component_id for r in dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+    assert sum(verified) < 12 * len(docs)
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (3, a), (9, b + " more"), (9, a), (None, a), (5, None)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id) for r in dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.doc_id)
+    assert got == [(3, 36, 3), (5, 0, 5), (5, 36, 3), (5, 36, 5), (9, 36, 3), (9, 37, 5)]
+
+
+def test_bits_never_rule_out_a_similar_pair():
+    rng = np.random.default_rng(6)
+    for n, m in ((50, 60), (300, 300), (2000, 1600), (9000, 9500), (70, 200)):
+        both = rng.integers(1, 1 << 63, min(n, m) - 9, dtype=np.uint64)
+        a, b = (np.concatenate([both, rng.integers(1, 1 << 63, k - len(both), dtype=np.uint64)]) for k in (n, m))
+        differ = n + m - 2 * len(both)
+        assert 0 < dedup.Bits([dedup.parity(a), dedup.parity(b)]).differ(0, np.array([1]))[0] <= differ
+
+
 def test_near_duplicates_of_nothing(spark):
     assert dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert dedup.near_duplicates(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")).collect()[0].kept
@@ -212,13 +260,18 @@ def test_myers_and_pieces():
         assert decontam.Matcher(items, 12).find(text) == [(i, d) for i, d in want if d <= len(decontam.plain(dict(items)[i])) // 12]
 
 
-def test_leak_rows(spark):
+def test_leak_rows(spark, monkeypatch):
     item = "The quick brown fox jumps over the lazy dog near the river bank today."
     docs = spark.createDataFrame([(1, f"x {item.upper()} y"), (2, item.replace("quick", "quack").replace(" ", "\n ")), (3, "nothing here"), (4, None), (5, ""), (None, item), (1, f"x {item.upper()} y")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, item, "a"), (8, None, "b"), (9, "", "c"), (None, "nothing here", "d")], "item_id long, text string, doc_id string")
     got = decontam.leaks(docs, bench).collect()
     assert sorted((r.doc_id or 0, r.item_id, r.distance) for r in got) == [(0, 7, 0), (1, 7, 0), (1, 7, 0), (2, 7, 1)]
     assert sorted(r.doc_id for r in decontam.without_leaks(docs, bench).collect()) == [3, 4, 5]
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 80)
+    more = bench.union(spark.createDataFrame([(10, item, "e"), (11, "some other words that nothing holds at all, ever so long", "f")], bench.schema))
+    got = decontam.leaks(docs, more).collect()
+    assert sorted((r.doc_id or 0, r.item_id, r.distance) for r in got) == sorted((i, x, e) for x in (7, 10) for i, e in ((0, 0), (1, 0), (1, 0), (2, 1)))
+    assert sorted(r.doc_id for r in decontam.without_leaks(docs, more).collect()) == [3, 4, 5]
     assert decontam.leaks(docs, bench.limit(0)).count() == 0 and decontam.leaks(docs.limit(0), bench).count() == 0
 
 
@@ -275,6 +328,36 @@ def test_surrogates_of_names_stay_distinct(spark, monkeypatch):
     assert pii.sound_key(docs, "text", "k") == "k/2"
 
 
+def test_secrets_and_addresses_keep_their_format_and_stay_distinct(spark):
+    made = lambda df: [r[0] for r in df.select(F.get(pii.surrogates(F.array("e"), "k"), F.lit(0)).alias("s")).collect()]
+    numbers = spark.range(0, 2000)
+    letters = "translate(lpad(cast(id AS string), 4, '0'), '0123456789', 'abcdefghij')"
+    some = {r"password=[a-z]{4}[0-9][A-Z]": f"concat('password=', {letters}, '7Q')", r"token: [а-я]{4}[А-Я]-_": f"concat('token: ', translate({letters}, 'abcdefghij', 'абвгдежзик'), 'Ж-_')", r"[a-z]{4}\.[a-z]@[a-z]{2}\d\.fr\.example": f"concat({letters}, '.x@ab1.fr')", r"[a-z]@[a-z]{4}\.de\.example": f"concat('a@', {letters}, '.de')", r"AKIA[A-Z]{4}\d{12}": f"concat('AKIA', upper({letters}), '001122334455')", r"secret=([a-z]{4}-){20}": f"concat('secret=', repeat(concat({letters}, '-'), 20))"}
+    for pattern, e in some.items():
+        got = made(numbers.selectExpr(f"{e} AS e"))
+        assert len(set(got)) == 2000 and all(re.fullmatch(pattern, x) for x in got), pattern
+    ssn, phone = made(spark.createDataFrame([("123-45-6789",), ("+44 20 7946 0958",)], "e string"))
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", ssn) and re.fullmatch(r"\+44 \d{2} \d{4} \d{4}", phone)
+
+
+WORST = {"host": "x a@" + "b." * 500_000 + "com", "locals": "a." * 500_000, "ats": "a@" * 500_000, "labels": "a@" + "b-" * 500_000, "digits": "1" * 1_000_000, "pairs": "1-" * 200_000, "phones": "+1 222 " * 150_000, "octets": "1." * 500_000, "names": "Mr. " + "Xx " * 300_000, "initials": "John " + "A. " * 300_000, "particles": "Mr. " + "von " * 250_000, "hyphens": "John-" + "a-" * 500_000, "secret": "password=" + "aB3-" * 50_000, "secrets": "password=" * 100_000, "words": "Aa" * 500_000}
+
+
+@pytest.mark.parametrize("worst", WORST)
+def test_long_texts_of_the_worst_shape(spark, worst):
+    """Neither the stack nor time runs out; what comes before and after is replaced all the same."""
+    df = spark.createDataFrame([(1, f"Mail a.b@mail.com. {WORST[worst]} and c.d@mail.com.")], "doc_id long, text string")
+    got = pii.replace_pii(df, "k").first().text
+    assert got.startswith("Mail ") and not got.startswith("Mail a.b@") and "c.d@mail.com" not in got[-60:]
+
+
+def test_odd_rows(spark):
+    """A null id, repeated rows and columns named as the operator's own."""
+    rows = [(None, "ssn 123-45-6789", "x", 1), (1, "ssn 123-45-6789", "y", 2), (1, "ssn 123-45-6789", "y", 2), (2, None, None, None)]
+    got = pii.replace_pii(spark.createDataFrame(rows, "doc_id long, text string, e string, kind int"), "k").collect()
+    assert len({r.text for r in got}) == 2 and sorted((r.doc_id or 0, r.e or "", r.kind or 0) for r in got) == [(0, "x", 1), (1, "y", 2), (1, "y", 2), (2, "", 0)]
+
+
 def test_cards_beside_other_numbers(spark):
     card, spaced, amex = "4465758382889437", "4465 7583 8288 9437", "3782 822463 10005"
     texts = [f"{card} 12/27", f"{card} 123", f"12 {card}", f"3 {spaced} 12-27", f"1234 {spaced} 5", f"{amex} 1234", f"{card} {card} 1", f"{card} 123-45-6789", f"{card} 555-123-4567 x", f"{card} 10.0.0.1", f"{card} 12ab", f"x {card}-9 and 1 2 3 4 5 6 7 8 9 1 2 3 4 5", "40418949746087 95", "1234 5678 9012 3456 7890 1234"]
@@ -424,12 +507,63 @@ def test_labeller_on_unseen_pages():
     assert np.mean(right) > 0.96
 
 
+def html_page(rng):
+    """A page as HTML and its article's blocks, by layouts other than those that the network learns from."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    links = lambda n: "<ul>" + "".join(f"<li><a href=/x>{word()} {word()}</a>" for _ in range(n)) + "</ul>"
+    blocks = [prose(rng.randint(3, 8))] + [prose(rng.randint(8, 90)) for _ in range(rng.randint(2, 12))]
+    inner = "".join(f"<p>{b}" if rng.random() < 0.5 else f"<p>{b}</p>\n" for b in blocks[1:])
+    ad = f"<div class='ad'><span>{prose(5)}</span></div>" if rng.random() < 0.4 else ""
+    cut = inner.find("<p>", len(inner) // 2)
+    inner = inner[:cut] + ad + inner[cut:] if cut > 0 else inner + ad
+    box = rng.choice(["article", "main", "div class='article-body'", "div class=content"])
+    depth = rng.choice([0, 1, 2, 12, 20])
+    body = f"<{box}><h1>{blocks[0]}</h1>{inner}</{box.split(' ')[0]}>"
+    body = "<div class=wrapper>" * depth + body + "</div>" * depth
+    around = [f"<nav class=menu>{links(5)}</nav>", f"<header><div class=logo>{word()}</div></header>", f"<div class=cookie-notice><p>{prose(12)}</p><button>ok</button></div>"]
+    below = [f"<aside class=sidebar><h3>{prose(2)}</h3>{links(4)}</aside>", f"<div class=comments><div class=comment><p>{prose(14)}</p></div><div class=comment><p>{prose(20)}</p></div></div>", f"<form class=newsletter><label>{prose(4)}</label><input></form>"]
+    top, end = ([x for x in some if rng.random() < 0.7] for some in (around, below))
+    footer = f"<footer><p>&copy; 2024 {word()}</p>{links(3)}</footer>"
+    return f"<html><head><title>{blocks[0]}</title><script>var x = '<p>no</p>';</script></head><body>{''.join(top)}{body}{''.join(end)}{footer}</body></html>", blocks
+
+
+def test_recall_on_pages_of_other_layouts():
+    rng = random.Random(21)
+    pages = [html_page(rng) for _ in range(300)]
+    got = extract.main_text([h for h, _ in pages], extract.trained())
+    assert np.mean([g == "\n\n".join(blocks) for g, (_, blocks) in zip(got, pages)]) >= 0.9
+
+
+def test_features_read_all_of_a_block():
+    """Every word, every element around, however deep, and names on inline elements count."""
+    long = " ".join(f"w{i}" for i in range(1000))
+    deep = lambda name: "<div class=%s>" % name + "<div>" * 40 + "<p>%s</p>" + "</div>" * 41
+    one = lambda html: extract.features(extract.blocks_of(html))[0]
+    assert (one(f"<p>{long}</p>") != one(f"<p>{long.replace('w501', 'zz')}</p>")).any()
+    assert (one(deep("comments") % "a b") != one(deep("content") % "a b")).any()
+    assert (one("<div><span class=advert>a b</span></div>") != one("<div><span>a b</span></div>")).any()
+    assert (one("<div><span class=advert>a</span> b</div>") == one("<div><span>a</span> b</div>")).all()
+
+
+def test_elements_end_where_html_says():
+    leaves = lambda html: [(b.text, b.leaf, b.depth) for b in extract.blocks_of(html)]
+    assert leaves("<ul><li>a<div><div><div><div><p>b</div></div></div></div><li>c</ul>") == [("a", "li", 2), ("b", "p", 7), ("c", "li", 2)]
+    assert leaves("<ul><li>a<ul><li>b<li>c</ul>d<li>e</ul>") == [("a", "li", 2), ("b", "li", 4), ("c", "li", 4), ("d", "li", 2), ("e", "li", 2)]
+    assert leaves("<table><tr><td>a<table><tr><td>b</table>c<td>d<tr><td>e</table>") == [("a", "td", 3), ("b", "td", 6), ("c", "td", 3), ("d", "td", 3), ("e", "td", 3)]
+    assert leaves("<p>a<section><div><p>b<p>c</div></section>d") == [("a", "p", 1), ("b", "p", 3), ("c", "p", 3), ("d", "", 0)]
+    assert len(extract.blocks_of("<div>x" * 20_000)) == 20_000
+
+
 def test_main_text_rows(spark):
     html = "<html><head><title>T</title></head><body><nav><ul><li><a href=/a>home</a></li></ul></nav><article><h1>Head</h1><p>Some  text &amp; more of it, long enough.</p><p>Second one goes here.</p></article><footer>&copy; me</footer></body></html>"
     df = spark.createDataFrame([(1, "u", html), (2, None, None), (3, "u", ""), (None, "u", html)], "page_id long, url string, html string")
     got = {r.page_id: r for r in extract.extract(df).collect()}
     assert got[1].text == got[None].text == "Head\n\nSome text & more of it, long enough.\n\nSecond one goes here."
     assert (got[2].text, got[2].n_chars, got[3].text) == ("", 0, "")
+    odd = spark.createDataFrame([(1, "u", html, "x", 1), (1, "u", html, "y", 2), (2, "u", "<p>" + "word " * 200_000, "z", 3)], "page_id long, url string, html string, text string, id int")
+    rows = extract.extract(odd).collect()
+    assert len(rows) == 3 and sum(r.text == got[1].text for r in rows) == 2 and extract.extract(odd.limit(0)).count() == 0
 
 
 def test_gradients_of_the_network():
@@ -453,5 +587,154 @@ def test_gradients_of_the_network():
         assert abs((up - down) / 2e-4 - g[at]) < 5e-5
 
 
+def plain_languages(rows, languages):
+    """identify() by loops over dictionaries: rows of id, text, declared, address."""
+    def grams(text):
+        raw = [b if b > 127 or chr(b).isalpha() else 32 for b in f"  {text.lower()} ".encode()] if text else []
+        codes = [a | b << 8 | c << 16 for a, b, c in zip(raw, raw[1:], raw[2:])]
+        return [(c * 2654435761 % 2**32) >> 20 for c in codes if c != 0x202020]
+
+    counts = {g: Counter() for g in languages}
+    for _, text, declared, _ in rows:
+        if declared in counts:
+            counts[declared].update(grams(text))
+    size = {g: sum(c.values()) + langid.GRAM_PRIOR * langid.BUCKETS for g, c in counts.items()}
+    scored, said, hosts, suffixes, whole = [], {}, {}, {}, Counter()
+    for i, text, declared, address in rows:
+        found = grams(text)
+        shrink = min(1.0, langid.EVIDENCE / max(1, len(found)))
+        ll = [shrink * sum(np.log((counts[g][x] + langid.GRAM_PRIOR) / size[g]) for x in found) for g in languages] + [shrink * len(found) * -np.log(langid.BUCKETS)]
+        host = re.sub(r"[/:?#].*", "", re.sub(r"^[a-z]+://", "", (address or "").lower()))
+        declared = declared if declared in languages else ""
+        if found:
+            share = np.exp(np.array(ll[:-1]) - max(ll[:-1]))
+            for g, x in zip(languages, share / share.sum()):
+                for some, key in ((said, declared), (hosts, host), (suffixes, host.rpartition(".")[2])):
+                    some.setdefault(key, Counter())[g] += x
+                whole[g] += x
+        scored.append((i, found, ll, declared, host))
+    overall = {g: (whole[g] + 1) / (sum(whole.values()) + len(languages)) for g in languages}
+    smooth = lambda some, over: {g: (some[g] + langid.HOST_PRIOR * over[g]) / (sum(some.values()) + langid.HOST_PRIOR) for g in languages}
+    out = []
+    for i, found, ll, declared, host in scored:
+        prior = smooth(hosts[host], smooth(suffixes[host.rpartition(".")[2]], overall)) if host in hosts else overall
+        given = {g: np.log((said.get(declared, Counter())[g] + 1) / (whole[g] + len(languages) + 1)) for g in languages}
+        z = np.array([x + given[g] + np.log(prior[g]) for x, g in zip(ll, languages)] + [ll[-1] + np.log(langid.UND_SHARE) - np.log(len(languages) + 1)])
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        out.append((i, (*languages, "und")[int(p.argmax())], float(p.max())) if found else (i, "und", 1.0))
+    return out
+
+
+def test_languages_equal_plain_loops(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PART_CHARS", 500)
+    rng = random.Random(12)
+    words = {"en": "the of and to in that was", "de": "der die und nicht ist das mit", "fr": "le la les des que dans pour"}
+    rows = []
+    for i in range(150):
+        g = rng.choice(list(words))
+        text = " ".join(rng.choice(words[g].split() + words["en"].split()[:2]) for _ in range(rng.randint(0, 25)))
+        rows.append((i % 140, text + rng.choice(["", " 12!", " é"]), rng.choice([g, g, "en", "xx", None]), rng.choice([f"http://h{i % 4}.{g}/x", f"h{i % 3}.com:80", None, "x"])))
+    rows += [(200, "ж" * 400 + " " + "the of " * 4000, "en", None), (201, None, "de", "h"), rows[3], rows[3]]
+    df = spark.createDataFrame([(*r, 1, "z") for r in rows], "doc_id long, text string, lang string, source string, row int, language string")
+    got = sorted((r.doc_id, r.language, r.posterior) for r in langid.identify(df, ("en", "de", "fr")).collect())
+    for a, b in zip(got, sorted(plain_languages(rows, ("en", "de", "fr")))):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 2e-5
+    kept = langid.in_languages(df, ("en", "de", "fr"))
+    assert kept.columns == df.columns and kept.count() == sum(g != "und" for _, g, _ in got)
+
+
+def test_notices_equal_all_ranges_of_lines():
+    """Every range of a paragraph's lines judged, without the shortcuts."""
+    model, rng = licenses.trained(), np.random.default_rng(8)
+
+    def brute(text):
+        lines, out = [licenses.words_of(x) for x in text.split("\n")], []
+        bounds = [-1, *(i for i, w in enumerate(lines) if not w), len(lines)]
+        for a, b in zip(bounds, bounds[1:]):
+            found = []
+            for i in range(a + 1, b):
+                for j in range(i, b):
+                    words = [w for x in lines[i : j + 1] for w in x]
+                    inner = [w for x in lines[i:j] for w in x]
+                    if j > i and len(inner) >= model.wide or model.anchors.isdisjoint(lines[i]) or model.anchors.isdisjoint(lines[j]):
+                        continue
+                    got = model.judge(words)
+                    if got and got[0] != licenses.UNKNOWN:
+                        found.append((i, j, *got))
+            alone = {x[0]: x for x in found if x[0] == x[1]}
+            kept = [x for x in found if x[0] == x[1] or all(x[5] > alone[k][5] and x[4] >= alone[k][4] for k in range(x[0], x[1] + 1) if k in alone)]
+            taken = set()
+            for x in sorted(kept, key=lambda x: (x[1] - x[0] - x[5], x[1] - x[0], x[0])):
+                if taken.isdisjoint(range(x[0], x[1] + 1)):
+                    taken |= set(range(x[0], x[1] + 1))
+                    out.append(x[:1] + x[2:3])
+        return sorted(out)
+
+    every = [(t, f) for f, some in licenses.TEMPLATES.items() for t in some]
+    hits = total = 0
+    for _ in range(60):
+        parts, want = [], set()
+        for _ in range(int(rng.integers(1, 4))):
+            t, f = every[int(rng.integers(len(every)))]
+            notice = licenses.made(t, rng)
+            parts.append("\n".join(textwrap.wrap(notice, int(rng.integers(25, 90)))))
+            want.add(f)
+            parts.append(rng.choice(["", "The cat sat on the mat.", "Some other words here"]))
+        text = "\n\n".join(parts) if rng.random() < 0.7 else "\n".join(parts)
+        got = [x[:2] for x in model.notices(text)]
+        assert got == brute(text)
+        hits, total = hits + len(want & {f for _, f in got}), total + len(want)
+    assert hits / total >= 0.9
+
+
+def test_edges_of_rows(spark, monkeypatch):
+    """Empty tables, repeated rows, null ids, long texts and columns named as the operators' own."""
+    notice = "Released under the MIT License."
+    rows = [(1, notice, "a", 1), (1, notice, "a", 1), (None, "x " * 300_000 + "\n" + notice, "b", 2), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, family string, paragraph int")
+    assert sorted((r.doc_id or 0, r.paragraph, r.family) for r in licenses.scan(df).collect()) == [(0, 1, "MIT"), (1, 0, "MIT"), (1, 0, "MIT")]
+    assert licenses.scan(df.limit(0)).count() == 0
+    item = "The quick brown fox jumps over the lazy dog near the river bank today."
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "word " * 300_000 + item, 5, "x"), (1, "a" * 1_000_000, 6, "y")], "doc_id long, text string, item_id int, distance string")
+    assert [(r.doc_id, r.item_id, r.distance) for r in decontam.leaks(docs, bench).collect()] == [(1, 7, 0)]
+    left = decontam.without_leaks(docs, bench)
+    assert left.columns == docs.columns and [r.item_id for r in left.collect()] == [6]
+    pages = spark.createDataFrame([(1, "u", "é" * 600, "x", 1), (1, "v", "é" * 600, "y", 2), (0, "w", "é" * 600, "z", 3)], "page_id long, url string, html string, record_type string, n int")
+    got = sorted((r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(pages).collect())
+    assert got == [(0, "revisit", 1), (1, "response", None), (1, "response", None)]
+    vectors = spark.createDataFrame([(0, [1.0, 2.0]), (0, [1.0, 2.0]), (5, [3.0, 1.0]), (5, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.rank, r.vec_id) for r in topk.threshold_topk(vectors, lambda i: i == 0).orderBy("rank").collect()] == [(1, 5), (2, 5)]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    near = dedup.near_duplicates(spark.createDataFrame([(1, long, 1), (2, long + " x", 2), (3, long[:9000], 3)], "doc_id long, text string, component_id int"))
+    assert sorted((r.doc_id, r.component_id) for r in near.collect()) == [(1, 1), (2, 1), (3, 3)]
+    said = spark.createDataFrame([(i, "x idiot y" if i % 2 else f"good day number {i}", 0.5, 1) for i in range(60)] + [(9, "so " * 200_000 + "idiot", 0.1, 2)] * 2, "doc_id long, text string, score double, predicted int")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    scored = toxicity.score(said, labels).collect()
+    assert len(scored) == 62 and sum(r.doc_id == 9 for r in scored) == 3 and toxicity.score(said.limit(0), labels).count() == 0
+
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query_as_registered(spark, name):
+    """Each runs over its whole table; those with SQL give what DuckDB gives."""
+    df = queries.QUERIES[name](spark, SF)
+    columns = sorted(df.columns)
+    rows = sorted(tuple(map(str, r)) for r in df.select(*columns).collect())
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    if name in queries.ORACLE_SQL:
+        found = con.execute(queries.ORACLE_SQL[name])
+        named = [c[0] for c in found.description]
+        assert sorted(named) == columns and rows == sorted(tuple(str(r[named.index(c)]) for c in columns) for r in found.fetchall())
+    else:
+        whole = "pages" if name == "op3_main_text" else "documents"
+        n = con.execute(f"SELECT count(*) FROM {whole}").fetchone()[0]
+        assert len(rows) == n or name in ("op7_decontamination", "op8_license_scan") and rows
+
+
 def test_every_query_is_there():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
