@@ -494,6 +494,56 @@ def to_html(rows: list[list[str]], header: bool = True) -> str:
     return "<table>" + "".join(line(r, "th" if header and i == 0 else "td") for i, r in enumerate(rows)) + "</table>"
 
 
+class _Bare(_Listener):
+    """The first table's HTML without attributes but spans, and the texts of its rows' own cells."""
+
+    def __init__(self, html: str | None):
+        self.depth, self.over, self.out, self.rows, self.open_rows, self.cells = 0, False, [], [], [], []
+        super().__init__(html)
+
+    def open(self, tag, attrs):
+        self.depth += tag == "table" and not self.over
+        if not self.depth or self.over:
+            return
+        spans = "".join(f' {k}="{attrs[k]}"' for k in ("rowspan", "colspan") if k in attrs)
+        self.out.append(f"<{tag}{spans}>")
+        if tag == "tr":
+            self.rows.append([])
+            self.open_rows.append(self.rows[-1])
+        elif tag in ("td", "th") and self.open_rows:
+            self.cells.append([])
+            self.open_rows[-1].append(self.cells[-1])
+
+    def close(self, tag):
+        if not self.depth or self.over:
+            return
+        self.out.append(f"</{tag}>")
+        if tag == "tr" and self.open_rows:
+            self.open_rows.pop()
+        elif tag in ("td", "th") and self.cells:
+            self.cells.pop()
+        elif tag == "table":
+            self.depth -= 1
+            self.over = self.depth == 0
+
+    def said(self, text):
+        if self.depth and not self.over:
+            self.out.append(escape(text, quote=False))
+            for cell in self.cells:
+                cell.append(text)
+
+
+def bare(html: str | None) -> tuple[str, str, str]:
+    """The first table without attributes but spans; its rows that have a text as Markdown, and as lines. Empty without one."""
+    found = _Bare(html)
+    rows = [[" ".join(" ".join(x.strip() for x in cell).split()) for cell in row] for row in found.rows]
+    rows = [row for row in rows if any(row)]
+    wide = max(map(len, rows), default=0)
+    lines = ["| " + " | ".join(t.replace("|", "\\|") for t in [*row, *[""] * wide][:wide]) + " |" for row in rows]
+    ruler = ["| " + " | ".join(["---"] * wide) + " |"] if rows else []
+    return "".join(found.out), "\n".join([*lines[:1], *ruler, *lines[1:]]), "\n".join(" ".join(row).strip() for row in rows)
+
+
 def first_balanced(html: str) -> str:
     """The first table with all that is nested in it; empty if it does not end."""
     depth = start = 0

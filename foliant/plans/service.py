@@ -264,3 +264,49 @@ def jn_hwpx_text(spark, sf_dir):
         return [(page["conv_id"], len(out), sum(k == "table" for k, _ in out))]
 
     return rg.pages(turns, "conv_id long, elements long, tables long", merged)
+
+
+@query(f"SELECT relative_path FROM ({NATIONS}) n WHERE NOT EXISTS (SELECT 1 FROM nation o WHERE o.n_nationkey % 4 = 0 AND o.n_name = n.n_name)")
+def src_dir_unprocessed(spark, sf_dir):
+    """Inputs without an output in the folder of the same place: every fourth nation has one."""
+    k, out = F.col("n_nationkey"), shared_path(spark, "outputs")
+    place = F.when(k % 3 == 0, "").otherwise(F.concat(F.lit("r"), F.col("n_regionkey").cast("string"), F.lit("/")))
+    made = table(spark, sf_dir, "nation").filter(k % 4 == 0).select(F.concat(place, "n_name", F.lit(".txt")).alias("path"), F.encode(F.col("n_name"), "UTF-8").alias("content"))
+    return st.unprocessed(st.listing(spark, _written(spark, sf_dir)).select("relative_path"), st.write_files(made, out).withColumnRenamed("path", "relative_path"))
+
+
+@query("SELECT n_name AS stem, CASE WHEN n_nationkey % 4 <> 3 THEN n_name || '.pdf' END AS file, n_nationkey % 4 <> 3 AS valid FROM nation")
+def src_gt(spark, sf_dir):
+    """Ground truths by stem; every second has another one further on, every fourth lacks its file."""
+    k, folder = F.col("n_nationkey"), shared_path(spark, "truths")
+    one = F.when(k % 4 != 3, F.to_json(F.struct(F.concat("n_name", F.lit(".pdf")).alias("file")))).otherwise(F.to_json(F.struct(F.array().alias("blocks"))))
+    nations = table(spark, sf_dir, "nation")
+    files = nations.select(F.concat(F.lit("a/"), "n_name", F.lit(".json")).alias("path"), F.encode(one, "UTF-8").alias("content"))
+    later = nations.filter(k % 2 == 0).select(F.concat(F.lit("b/"), "n_name", F.lit(".json")).alias("path"), F.encode(F.lit('{"file": "later"}'), "UTF-8").alias("content"))
+    st.write_files(files.unionByName(later), folder)
+    return st.ground_truths(spark, folder).select("stem", "file", "valid")
+
+
+@query("SELECT DISTINCT regexp_extract(url, '^[^?#]*') AS path FROM pages")
+def src_bench_inputs(spark, sf_dir):
+    """Inputs by resolved path, each once; none is an error."""
+    return st.distinct_inputs(table(spark, sf_dir, "pages").select(F.regexp_extract("url", "^[^?#]*", 0).alias("path")), "path")
+
+
+@query("SELECT n_nationkey AS k, n_name AS v FROM nation UNION ALL SELECT r_regionkey, r_name FROM region")
+def sink_audit(spark, sf_dir):
+    """A log after two appends."""
+    log = shared_path(spark, "audit")
+    st.append(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v")), log)
+    return st.append(table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v")), log)
+
+
+@query("SELECT l_orderkey AS id, count(*) FILTER (l_tax > 0.02) AS rows, 'part state' || coalesce(chr(10) || string_agg(l_partkey || ' ' || l_returnflag || ' ' || l_linestatus, chr(10) ORDER BY l_linenumber, l_partkey, l_returnflag, l_linestatus, l_suppkey, l_quantity) FILTER (l_tax > 0.02), '') AS flat FROM lineitem GROUP BY 1")
+def tb_hwp_html(spark, sf_dir):
+    """Tables without attributes but spans, and their texts row by row."""
+    from foliant.operators import tables as tb
+    from foliant.plans.tables import _tables
+
+    styled = F.replace("truth", F.lit("<td"), F.lit("<td style='x' class=y"))
+    rows = _tables(spark, sf_dir).select("id", tb.udf_of(lambda h: [*tb.bare(h)], "1:array<string>")(styled).alias("x"))
+    return rows.select("id", F.regexp_count(F.get("x", F.lit(0)), F.lit("<tr><td(?: colspan=.2.)?>")).cast("long").alias("rows"), F.get("x", F.lit(2)).alias("flat"))

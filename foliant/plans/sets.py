@@ -49,14 +49,6 @@ def jn_unprocessed(spark, sf_dir):
     return table(spark, sf_dir, "orders").join(done, "o_orderkey", "left_anti").select("o_orderkey")
 
 
-@query("SELECT DISTINCT page_id FROM pages p WHERE NOT EXISTS (SELECT 1 FROM pages q WHERE q.page_id % 2 = 0 AND regexp_extract(q.url, '^[^?#]*', 0) = regexp_extract(p.url, '^[^?#]*', 0))")
-def src_dir_unprocessed(spark, sf_dir):
-    """Paths without the output of their stem, queries and fragments aside."""
-    path = F.regexp_extract("url", "^[^?#]*", 0).alias("path")
-    pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", path).join(pages.filter("page_id % 2 = 0").select(path), "path", "left_anti").select("page_id").distinct()
-
-
 @query(with_records("""SELECT job_id, output_path, CAST(row_number() OVER (PARTITION BY job_id ORDER BY first_at, output_path) AS INTEGER) AS place FROM (
     SELECT i.job_id, d.output_path, min(i.item_id) AS first_at FROM item_records i JOIN doc_records d ON i.document_id = d.document_id WHERE d.output_path IS NOT NULL GROUP BY 1, 2)""", "item_records", "doc_records"))
 def jn_session_docs(spark, sf_dir):

@@ -63,18 +63,6 @@ def st_round_robin(spark, sf_dir):
     return queued.join(F.broadcast(sizes)).select("route", "job_id", before.alias("turn"))
 
 
-@query("SELECT stem, quality, toxic FROM (SELECT doc_id % 300 AS stem, quality, toxic, row_number() OVER (PARTITION BY doc_id % 300 ORDER BY doc_id) AS n FROM labels) WHERE n = 1")
-def src_gt(spark, sf_dir):
-    """Ground truth by stem, the first by path."""
-    return table(spark, sf_dir, "labels").groupBy((F.col("doc_id") % 300).alias("stem")).agg(F.min(F.struct("doc_id", "quality", "toxic")).alias("x")).select("stem", "x.quality", "x.toxic")
-
-
-@query("SELECT regexp_extract(url, '^[^?#]*') AS path, min(page_id) AS page_id FROM pages GROUP BY 1")
-def src_bench_inputs(spark, sf_dir):
-    """Inputs by resolved path, each once."""
-    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", "^[^?#]*", 0).alias("path")).agg(F.min("page_id").alias("page_id"))
-
-
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def sink_delete(spark, sf_dir):
     """What stays after records and what hangs on them are deleted."""
@@ -91,13 +79,6 @@ def st_revoke(spark, sf_dir):
     return events.join(gone, "event_id", "left_anti").select("user_id", "event_id")
 
 
-@query("SELECT k, v FROM (SELECT n_nationkey AS k, n_name AS v FROM nation WHERE n_nationkey > 10 UNION ALL SELECT r_regionkey, r_name FROM region)")
-def sink_audit(spark, sf_dir):
-    """Rows appended to a log, and a keyed store after new rows took the place of old ones."""
-    n = table(spark, sf_dir, "nation").filter("n_nationkey > 10").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("v"))
-    return upsert(n, table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v")), "k")
-
-
 @query(with_records("SELECT job_id, count(*) AS tasks, count(*) FILTER (status IN ('COMPLETED', 'FAILED', 'CANCELED')) AS done, count(*) = count(*) FILTER (status IN ('COMPLETED', 'FAILED', 'CANCELED')) AS finalize FROM item_records GROUP BY 1", "item_records"))
 def st_fanout_fanin(spark, sf_dir):
     """The barrier of a job's tasks: it may be finalized when all are over."""

@@ -88,3 +88,35 @@ def read_through(cached: DataFrame, stored: DataFrame, key: str) -> DataFrame:
     both = cached.withColumnRenamed("value", "c").join(stored.withColumnRenamed("value", "s"), key, "full")
     dirty = F.coalesce(F.col("dirty"), F.lit(False))
     return both.select(key, F.when(dirty, F.col("c")).otherwise(F.col("s")).alias("value")).filter("value IS NOT NULL")
+
+
+def unprocessed(inputs: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Inputs (relative_path) without an output of their folder and stem; an input's suffix does not count, so a.pdf and a.csv
+    have one output."""
+    without_suffix = F.regexp_replace("relative_path", r"(?<=[^/])\.[^./]*$", "")
+    done = outputs.filter(F.endswith("relative_path", F.lit(".txt"))).select(without_suffix.alias("stem")).distinct()
+    return inputs.withColumn("stem", without_suffix).join(done, "stem", "left_anti").drop("stem")
+
+
+def ground_truths(spark: SparkSession, folder: str) -> DataFrame:
+    """stem, path, file and valid of each ground truth below a folder, the first by path of equal stems. A file that is no JSON
+    or lacks the key file is not valid, and is told so rather than left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(folder)
+    stem = F.regexp_extract("path", r"([^/]*)\.json$", 1)
+    name = F.get_json_object(F.decode("content", "UTF-8"), "$.file")
+    first = files.select(stem.alias("stem"), "path", name.alias("file")).groupBy("stem").agg(F.min(F.struct("path", "file")).alias("x"))
+    return first.select("stem", "x.path", "x.file", F.col("x.file").isNotNull().alias("valid"))
+
+
+def distinct_inputs(files: DataFrame, path: str) -> DataFrame:
+    """Files by their path, each once; no files are an error."""
+    out = files.dropDuplicates([path])
+    if out.isEmpty():
+        raise ValueError("there are no inputs")
+    return out
+
+
+def append(rows: DataFrame, folder: str) -> DataFrame:
+    """Append rows to the log in a folder; all of the log."""
+    rows.write.mode("append").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

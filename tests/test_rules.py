@@ -268,3 +268,16 @@ def test_stores_of_files(spark, tmp_path):
     assert sorted((r.relative_path, r.suffix, r.size) for r in store.listing(spark, f"file://{tmp_path}/f").collect()) == [("a/B.PDF", "pdf", 1), ("c.csv", "csv", 2)]
     assert [r.relative_path for r in store.listing(spark, f"file://{tmp_path}/f", deep=False).collect()] == ["c.csv"]
     assert store.write_files(rows, f"file://{tmp_path}/f").count() == 6  # a second time replaces
+
+
+def test_bare_tables():
+    html, markdown, flat = tables.bare("x<table class=a><tr style=b><td rowspan='2' id=c>1 <b>&amp;</b></td><td>a|b</td></tr><tr><td> </td></tr><tr><td>z</td></tr></table><table></table>")
+    assert html == '<table><tr><td rowspan="2">1 <b>&amp;</b></td><td>a|b</td></tr><tr><td> </td></tr><tr><td>z</td></tr></table>'
+    assert (markdown, flat) == ("| 1 & | a\\|b |\n| --- | --- |\n| z |  |", "1 & a|b\nz") and tables.bare("") == ("", "", "")
+
+
+def test_no_inputs_are_an_error(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        store.distinct_inputs(spark.createDataFrame([], "path string"), "path")
