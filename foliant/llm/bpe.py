@@ -19,10 +19,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bound_batches, only
+from foliant.llm.common import bound_batches, only, release
 
 #: Words whose encodings are kept, besides those of a batch; the longest unused half goes first.
 KEPT_WORDS = 600_000
+#: The same for a task that encodes rows, which share a worker's memory with all that rows pass through.
+KEPT_IN_TASK = 100_000
 #: Pairs of tokens of which a worker keeps whether they are valid; beyond it all go.
 KEPT_PAIRS = 400_000
 
@@ -190,8 +192,8 @@ class WordMemory:
     are taken in order, so that each keeps the table entries of the prefix it shares with the one before.
     """
 
-    def __init__(self, codec: BpeCodec):
-        self.codec, self.words, self.before = codec, {}, {}
+    def __init__(self, codec: BpeCodec, most: int):
+        self.codec, self.most, self.words, self.before = codec, most, {}, {}
 
     def kept(self, ids: list[int]):
         """What is kept of the ids of a piece; whole() joins what is kept of pieces in a row."""
@@ -218,7 +220,7 @@ class WordMemory:
             if pieces is not None:
                 known[word] = made[pieces[0]] if len(pieces) == 1 else joined([made[p] for p in pieces])
         out = [joined([made[p] for p in every]) if every is not None else joined([*[made[p] for p in head], *map(known.__getitem__, words[1:])]) for every, head, words in zip(whole, heads, split)]
-        if len(known) > KEPT_WORDS // 2:
+        if len(known) > self.most // 2:
             self.words, self.before = {}, known
         return out
 
@@ -226,8 +228,8 @@ class WordMemory:
 class LineMemory(WordMemory):
     """As WordMemory, but ids as decimal numbers between single spaces."""
 
-    def __init__(self, codec: BpeCodec):
-        super().__init__(codec)
+    def __init__(self, codec: BpeCodec, most: int):
+        super().__init__(codec, most)
         self.bytes_of = {str(i): t for i, t in codec.bytes_of.items()}
 
     def kept(self, ids: list[int]) -> str:
@@ -248,7 +250,7 @@ def codec_of(ranks_path: str, pattern: str) -> BpeCodec:
 @functools.cache
 def lines_of(ranks_path: str, pattern: str) -> LineMemory:
     """One memory for all tasks that a worker process runs."""
-    return LineMemory(codec_of(ranks_path, pattern))
+    return LineMemory(codec_of(ranks_path, pattern), KEPT_WORDS)
 
 
 def digest_rows(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -280,10 +282,12 @@ def encode_rows(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
     bound_batches(docs.sparkSession)
     @F.arrow_udf("array<int>")
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        words = WordMemory(codec_of(ranks_path, pattern))
+        words, batch, rows = WordMemory(codec_of(ranks_path, pattern), KEPT_IN_TASK), None, None
         for batch in batches:
             rows = words.texts([text or "" for text in batch.to_pylist()])
             starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             yield pa.ListArray.from_arrays(starts, np.frombuffer(b"".join(rows), np.int32))
-        words.codec.pairs.clear()  # the worker lives on, for other stages
+        words.codec.pairs.clear()
+        del words, batch, rows
+        release()
     return docs.drop(out_col).withColumn(out_col, encode(F.col(f"`{text_col}`").cast("string")))

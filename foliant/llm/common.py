@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +74,15 @@ def drop(*tables: DataFrame) -> None:
         _remove(df.sparkSession, df.scratch)
 
 
+def release() -> None:
+    """Give a worker's free memory back to the system: workers live on, idle or for other stages, beside the JVM."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, so that extra columns of the input cannot clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foliant.llm.common import bound_batches, drop, only, stored
+from foliant.llm.common import bound_batches, drop, release, stored
 from foliant.llm.components import components
 from foliant.llm.shingles import common, mix, shingle_set
 
@@ -85,6 +85,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, first: Column) -> Data
             h1, h2 = np.array(digests, np.int64).reshape(-1, 2).T
             made = [pa.array(sizes, pa.int64()), pa.array(h1), pa.array(h2), pa.array(signatures, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made], ["doc", "first", "n", "h1", "h2", "sig", "bits"])
+        release()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), first.alias("first"), F.col(f"`{text_col}`").cast("string").alias("text"))
     schema = StructType([*rows.schema.fields[:2], *StructType.fromDDL("n long, h1 long, h2 long, sig array<long>, bits binary").fields])
@@ -138,6 +139,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int
                 both = common(one, last_set)
                 keep.append(100 * both >= percent * (len(one) + len(last_set) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     links = stored(rows.select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"), "links")
     drop(wanted, some)
@@ -282,6 +284,7 @@ def met_in_keys(open_rows: DataFrame, nodes: DataFrame, percent: int, closest: b
             if found:
                 a, b, d = np.concatenate(found, axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(d)], ["a", "b", "d"])
+        release()
 
     return grouped.mapInArrow(compare, "a long, b long, d long")
 

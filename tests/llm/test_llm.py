@@ -38,15 +38,14 @@ def odd_texts():
     return ["", " ", "x" * 5000] + ["".join(rng.choice(parts) for _ in range(30)) for _ in range(300)]
 
 
-def test_bpe_equals_the_library(codec, reference_encoding, monkeypatch):
+def test_bpe_equals_the_library(codec, reference_encoding):
     texts = odd_texts()
-    lines = bpe.LineMemory(codec)
-    for text, ids, line in zip(texts, bpe.WordMemory(codec).texts(texts), lines.texts(texts)):
+    lines = bpe.LineMemory(codec, 1000)
+    for text, ids, line in zip(texts, bpe.WordMemory(codec, 1000).texts(texts), lines.texts(texts)):
         want = reference_encoding.encode_ordinary(text)
         assert list(ids) == want == codec.encode(text)
         assert line == " ".join(map(str, want)) and codec.decode(want) == lines.decode(line.split()) == text.encode()
-    monkeypatch.setattr(bpe, "KEPT_WORDS", 20)
-    small = bpe.WordMemory(codec)
+    small = bpe.WordMemory(codec, 20)
     for i in range(0, len(texts), 7):  # what is kept and what is forgotten makes no difference
         assert [list(ids) for ids in small.texts(texts[i : i + 7])] == [reference_encoding.encode_ordinary(t) for t in texts[i : i + 7]]
 
