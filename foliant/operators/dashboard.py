@@ -25,10 +25,10 @@ def file_types(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.coalesce(F.nullif("file_type", F.lit("")), F.lit("unknown")).alias("file_type")).agg(F.count("*").alias("n"))
 
 
-def recent_documents(docs: DataFrame, limit: int = 10) -> DataFrame:
-    """The documents last updated, or uploaded if never updated; ties to the larger id."""
-    at = F.coalesce("updated_at", "uploaded_at", F.lit(0))
-    return docs.withColumn("last_at", at).orderBy(F.desc("last_at"), F.desc("document_id")).limit(limit).select("document_id", "last_at", "status")
+def recent_documents(docs: DataFrame, limit: int | None = 10) -> DataFrame:
+    """The documents last updated, or uploaded if never updated; ties to the larger id. All of them without a limit."""
+    rows = docs.withColumn("last_at", F.coalesce("updated_at", "uploaded_at", F.lit(0))).orderBy(F.desc("last_at"), F.desc("document_id"))
+    return (rows if limit is None else rows.limit(limit)).select("document_id", "last_at", "status")
 
 
 def progress_of(docs_status: Column, by_status: dict[str, int], percent: Column, done: Column, pages: Column) -> Column:

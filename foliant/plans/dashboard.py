@@ -20,7 +20,7 @@ def top_recent_docs(spark, sf_dir):
 
 @query(with_records("SELECT document_id, coalesce(updated_at, uploaded_at, 0) AS last_at, status FROM doc_records", "doc_records"))
 def srt_documents(spark, sf_dir):
-    return d.recent_documents(records(spark, sf_dir, "doc_records"), 10_000)
+    return d.recent_documents(records(spark, sf_dir, "doc_records"), None)
 
 
 SHOWN = """SELECT document_id, file_name, file_type, CASE WHEN document_id % 3 = 0 THEN file_name || '.V2.PDF' WHEN document_id % 3 = 1 THEN '' END AS source_name, CASE WHEN document_id % 2 = 0 THEN 'hwp' END AS source_type,
