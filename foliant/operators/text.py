@@ -136,6 +136,12 @@ def _nid(a: str, b: str) -> float:
 
 def common_subsequence(a: str, b: str) -> int:
     """The length of the longest common subsequence, a bit for each character of a (Hyyrö 2004)."""
+    start, end, least = 0, 0, min(len(a), len(b))
+    while start < least and a[start] == b[start]:
+        start += 1
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]  # what both begin and end with is common
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -144,7 +150,7 @@ def common_subsequence(a: str, b: str) -> int:
     for c in b:
         found = row & masks.get(c, 0)
         row = (row + found | row - found) & full
-    return len(a) - row.bit_count()
+    return start + end + len(a) - row.bit_count()
 
 
 @pandas_udf(DoubleType())
