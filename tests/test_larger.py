@@ -2,9 +2,10 @@
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from foliant import registry
-from foliant.operators import tables
+from foliant.operators import tables, text
 
 registry.load()
 
@@ -47,3 +48,11 @@ def test_tables_of_the_same_tags_are_parsed_once(monkeypatch):
     tables._kept.cache_clear()
     assert [tables.cell_texts(a), tables.cell_texts(b), tables.diagnostics(a), tables.grid_fault(b)] == [["1"], ["7"], [1, 2, 0, 0], ""]
     assert feeds == [] and tables._kept.cache_info().hits >= 1
+
+
+def test_distances_in_and_beyond_every_band(spark):
+    n = [0, 1, 15, 16, 17, 63, 64, 65, 255, 256, 257, 400]
+    rows = spark.createDataFrame([(k, "aB" * 300, "aB" * 300 + "x" * (k // 2), "y" * (k - k // 2)) for k in n], "k int, a string, b string, lead string")
+    got = rows.select("k", text.distance(F.col("a"), F.concat("lead", "b")).alias("d")).collect()
+    assert [r.d for r in got] == n
+    assert spark.range(1).select(text.distance(F.lit(None).cast("string"), F.lit("a")).alias("d")).first().d is None
