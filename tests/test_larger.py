@@ -5,7 +5,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from foliant import registry
-from foliant.operators import tables, text
+from foliant.operators import regions, tables, text
 
 registry.load()
 
@@ -56,3 +56,12 @@ def test_distances_in_and_beyond_every_band(spark):
     got = rows.select("k", text.distance(F.col("a"), F.concat("lead", "b")).alias("d")).collect()
     assert [r.d for r in got] == n
     assert spark.range(1).select(text.distance(F.lit(None).cast("string"), F.lit("a")).alias("d")).first().d is None
+
+
+def test_lines_are_found_and_cells_covered_without_looking_at_all(monkeypatch):
+    lines = [0.0, 2.0, 5.0]
+    assert [regions.nearest(lines, v) for v in (-1, 0, 1, 1.1, 3.5, 3.6, 5, 9)] == [0, 0, 0, 1, 1, 2, 2, 2]
+    monkeypatch.delattr(regions.np, "argmin")
+    assert regions.nearest(lines, 4.0) == 2
+    cell = lambda row, col, down, right: {"row": row, "col": col, "rowspan": down, "colspan": right, "text": f"{row}{col}"}
+    assert regions.cells_html([cell(0, 0, 2, 1), cell(0, 1, 1, 1), cell(1, 0, 1, 1), cell(1, 1, 1, 1)]) == '<table><tr><th rowspan="2"><p>00</p></th><th><p>01</p></th></tr><tr><td><p>11</p></td></tr></table>'
