@@ -1,10 +1,35 @@
 """Regions and frames: against all pairs, with no more comparisons than they need."""
 
+import random
+
 import pyarrow as pa
 
 from foliant.operators import regions as rg
 
 
+def all_pairs(boxes, gap):
+    group = list(range(len(boxes)))
+    for _ in boxes:
+        group = [min(group[j] for j in range(len(boxes)) if rg.touch(a, boxes[j], gap)) for a in boxes]
+    return [[i for i, g in enumerate(group) if g == k] for k in sorted(set(group))]
+
+
+def test_groups_are_those_of_all_pairs():
+    r = random.Random(5)
+    for _ in range(300):
+        boxes = [(x, y, x + r.randrange(30), y + r.randrange(30)) for x, y in ((r.randrange(100), r.randrange(100)) for _ in range(r.randrange(12)))]
+        assert rg.groups_of(boxes, 4.0) == all_pairs(boxes, 4.0)
+
+
+def test_lines_far_apart_are_not_compared(monkeypatch):
+    asked, touch = [], rg.touch
+    monkeypatch.setattr(rg, "touch", lambda a, b, gap: asked.append(1) or touch(a, b, gap))
+    assert len(rg.groups_of([(100.0 * i, 0.0, 100.0 * i + 10, 5.0) for i in range(3_000)], 4.0)) == 3_000
+    assert not asked
+    drawn = [("rect", 100.0, 100.0, 300.0, 150.0), ("line", 200.0, 100.0, 200.0, 150.0)]
+    assert rg.grid_regions(drawn, [], 600, 800) == [] and not asked
+
+
 def test_frames_no_larger_than_the_best_are_not_filled(monkeypatch):
     filled, fill = [], rg.band_html
     monkeypatch.setattr(rg, "band_html", lambda *a: filled.append(a[0]) or fill(*a))
