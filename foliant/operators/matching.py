@@ -20,9 +20,15 @@ def size_likeness(a: Column, b: Column) -> Column:
     return F.when(known, 1 - F.abs(a - b) / F.greatest(a, b)).otherwise(1.0)
 
 
-def likeness(p: Column, t: Column) -> Column:
-    """How like a predicted table p is to a true table t, to four places."""
-    header = F.when(F.coalesce(F.size(t["header"]), F.lit(0)) <= 0, UNKNOWN).otherwise(jaccard(t["header"], F.coalesce(p["header"], F.array().cast("array<string>"))))
+def tokens(header: Column) -> Column:
+    """How many different tokens a header has."""
+    return F.coalesce(F.size(F.array_distinct(header)), F.lit(0))
+
+
+def likeness(p: Column, t: Column, p_tokens: Column, t_tokens: Column) -> Column:
+    """How like a predicted table p is to a true table t, whose headers have so many different tokens, to four places."""
+    shared = F.size(F.array_intersect(t["header"], F.coalesce(p["header"], F.array().cast("array<string>"))))
+    header = F.when(t_tokens <= 0, UNKNOWN).otherwise(shared / (p_tokens + t_tokens - shared))
     page = F.when((F.coalesce(F.size(t["pages"]), F.lit(0)) > 0) & p["page"].isNotNull(), F.array_contains(t["pages"], p["page"]).cast("double")).otherwise(UNKNOWN)
     parts = {"rows": size_likeness(p["rows"], t["rows"]), "cols": size_likeness(p["cols"], t["cols"]), "header": header, "page": page}
     return F.round(sum((PARTS[k] * x for k, x in parts.items()), F.lit(0.0)).cast("decimal(18,10)"), 4).cast("double")
@@ -30,8 +36,9 @@ def likeness(p: Column, t: Column) -> Column:
 
 def candidates(predicted: DataFrame, truth: DataFrame, doc: str) -> DataFrame:
     """doc, t and p (the tables' structs) and score of each true table with each predicted one of its document."""
-    rows = truth.select(doc, F.struct("*").alias("t")).join(predicted.select(doc, F.struct("*").alias("p")), doc)
-    return rows.withColumn("score", likeness(F.col("p"), F.col("t")))
+    side = lambda df, name: df.select(doc, F.struct("*").alias(name), F.greatest(tokens(F.col("header")), F.lit(0)).alias(f"{name}_tokens"))
+    rows = side(truth, "t").join(side(predicted, "p"), doc)
+    return rows.select(doc, "t", "p", likeness(F.col("p"), F.col("t"), F.col("p_tokens"), F.col("t_tokens")).alias("score"))
 
 
 def in_order(pairs: DataFrame, doc: str, truth: str = "t.n", predicted: str = "p.n", score: str = "score") -> DataFrame:
@@ -39,22 +46,26 @@ def in_order(pairs: DataFrame, doc: str, truth: str = "t.n", predicted: str = "p
 
     With a document's pairs sorted by true table, falling score and predicted table, that is the first of each true table
     whose predicted table is free: one fold in the JVM over what a document holds."""
-    best = F.array_sort(F.collect_list(F.struct(F.col(truth).alias("t"), (-F.col(score)).alias("s"), F.col(predicted).alias("p"))))
+    return matches(pairs, doc, truth, predicted, score).select(doc, F.explode("m").alias("x")).select(doc, F.col("x.t").alias("truth"), F.col("x.p").alias("predicted"), (-F.col("x.s")).alias("score"))
+
+
+def matches(pairs: DataFrame, doc: str, truth: str = "t.n", predicted: str = "p.n", score: str = "score", *more: Column) -> DataFrame:
+    """doc and m, an array of its matches in order: t, s, the score below zero, p, and what more is asked of a pair."""
+    best = F.array_sort(F.collect_list(F.struct(F.col(truth).alias("t"), (-F.col(score)).alias("s"), F.col(predicted).alias("p"), *more)))
     kept = F.aggregate(best, F.filter(best, lambda x: F.lit(False)), lambda done, x: F.when(F.exists(done, lambda y: (y["t"] == x["t"]) | (y["p"] == x["p"])), done).otherwise(F.concat(done, F.array(x))))
-    return pairs.groupBy(doc).agg(kept.alias("m")).select(doc, F.explode("m").alias("x")).select(doc, F.col("x.t").alias("truth"), F.col("x.p").alias("predicted"), (-F.col("x.s")).alias("score"))
+    return pairs.groupBy(doc).agg(kept.alias("m"))
 
 
 def grid_evaluation(predicted: DataFrame, truth: DataFrame, doc: str) -> DataFrame:
     """For each document with a table: predicted tables, valid ones and their share, true tables, matches, matches that are
     valid and of the true size, and their share of the true tables; shares to four places, null of none."""
-    p = predicted.groupBy(doc).agg(F.count("*").alias("predicted"), F.count_if("valid").alias("valid"))
-    t = truth.groupBy(doc).agg(F.count("*").alias("truth"))
-    found = in_order(candidates(predicted, truth, doc), doc)
-    sizes = found.join(predicted.select(doc, F.col("n").alias("predicted"), "rows", "cols", "valid"), [doc, "predicted"])
-    sizes = sizes.join(truth.select(doc, F.col("n").alias("truth"), F.col("rows").alias("t_rows"), F.col("cols").alias("t_cols")), [doc, "truth"])
-    exact = F.col("valid") & (F.col("rows") == F.col("t_rows")) & (F.col("cols") == F.col("t_cols"))
-    m = sizes.groupBy(doc).agg(F.count("*").alias("matched"), F.count_if(exact).alias("exact"))
-    out = p.join(t, doc, "full").join(m, doc, "left").fillna(0, ["predicted", "valid", "truth", "matched", "exact"])
+    p, t = F.col("p"), F.col("t")
+    exact = p["valid"] & (p["rows"] == t["rows"]) & (p["cols"] == t["cols"])
+    found = matches(candidates(predicted, truth, doc), doc, "t.n", "p.n", "score", exact.alias("exact"))
+    m = found.select(doc, F.size("m").cast("long").alias("matched"), F.size(F.filter("m", lambda x: x["exact"])).cast("long").alias("exact"))
+    every = predicted.select(doc, F.lit(True).alias("is_p"), "valid").unionByName(truth.select(doc, F.lit(False).alias("is_p"), F.lit(None).cast("boolean").alias("valid")))
+    counts = every.groupBy(doc).agg(F.count_if("is_p").alias("predicted"), F.count_if("valid").alias("valid"), F.count_if(~F.col("is_p")).alias("truth"))
+    out = counts.join(m, doc, "left").fillna(0, ["predicted", "valid", "truth", "matched", "exact"])
     return out.withColumns({"valid_rate": F.round(F.try_divide("valid", "predicted"), 4), "exact_rate": F.round(F.try_divide("exact", "truth"), 4)})
 
 
